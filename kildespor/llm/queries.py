@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kildespor.plans.shared import written
 
-from . import copies, distinctive, encode, mixing, splits, term_counts, top_n
+from . import copies, distinctive, encode, lookalike, mixing, splits, term_counts, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,19 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.reference_splits(*[_table(spark, sf, t) for t in ("split_annotations", "relation_labeling", "split_targets")])
 
 
+def _forms(spark: SparkSession, sf: str) -> DataFrame:
+    texts = distinctive.verse_and_reference_texts(_table(spark, sf, "verses"), _table(spark, sf, "split_annotations"))
+    return lookalike.consistent(texts.withColumnRenamed("row_id", "id"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalike.same_to_the_reader(_forms(spark, sf))
+
+
+def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return _forms(spark, sf).select("tbl", "id", "form")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return term_counts.marked_terms(_table(spark, sf, "verses")).where("mark is not null").select("term", "mark")
 
@@ -94,7 +107,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p2_found, p2_splits, p4_found, p4_terms, p5_found, p5_ranked, p7_found, p7_weights, p8_ids, p9_found, p9_mix, p9_shares)
+    for f in (p1_found, p1_records, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_terms, p5_found, p5_ranked, p7_found, p7_weights, p8_ids, p9_found, p9_mix, p9_shares)
 }
 
 _COPIES = r"""
