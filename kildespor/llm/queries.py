@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kildespor.plans.shared import written
 
-from . import copies, distinctive, encode, lookalike, mixing, splits, term_counts, top_n
+from . import copies, distinctive, encode, lookalike, mixing, splits, term_counts, top_n, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,9 +105,21 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(_sized(spark, sf), _table(spark, sf, "mix_targets"), F.col("sources"))[1]
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(_documents(spark, sf)).select(F.col("id").alias("doc_id"))
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(_documents(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_terms, p5_found, p5_ranked, p7_found, p7_weights, p8_ids, p9_found, p9_mix, p9_shares)
+    for f in (p1_found, p1_records, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_terms, p5_found, p5_ranked, p7_found, p7_weights, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_rates)
 }
 
 _COPIES = r"""
