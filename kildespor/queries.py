@@ -1,2 +1,563 @@
-QUERIES = {}
-ORACLES = {}
+"""The queries of the core operators on the test tables, and the SQL they are compared with.
+
+verses are the corpus, split_annotations the references, relation_labeling
+their bands, text_vectors the vectors of both.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from kildespor.functions import text as T
+from kildespor.operators import corpus as C, encode as E, gold as G, metrics as M, study as S
+from kildespor.operators.dense import Dense
+from kildespor.operators.lexical import BM25, Tfidf, distinct_terms, document_frequencies, postings, rank_all
+from kildespor.operators.negatives import mine, triples
+from kildespor.operators.tuning import soup
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+FOLDS = 5
+
+
+class Tables:
+    """The test tables in the shapes that operators take."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf}/{name}.parquet")
+
+    @property
+    def corpus(self) -> DataFrame:
+        return C.corpus_of(self.table("verses"))
+
+    @property
+    def refs(self) -> DataFrame:
+        return self.table("split_annotations").withColumnRenamed("quote_from_work", "text")
+
+    @property
+    def gold(self) -> DataFrame:
+        return C.spans(self.refs, self.corpus)
+
+    def assembled(self) -> tuple[DataFrame, DataFrame]:
+        return G.assemble(self.refs, self.corpus, self.table("relation_labeling"))
+
+    def tokens(self, make, of: str) -> DataFrame:
+        df = self.corpus if of == "doc_id" else self.refs
+        return df.select(of, F.coalesce(make(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+
+    def vectors(self, tbl: str, name: str) -> DataFrame:
+        return self.table("text_vectors").where(F.col("tbl") == tbl).select(F.col("row_id").alias(name), F.col("embedding").alias("vector"))
+
+    def bm25(self, make) -> BM25:
+        return BM25(self.tokens(make, "doc_id"))
+
+    def tfidf(self, make) -> Tfidf:
+        return Tfidf(self.tokens(make, "doc_id"))
+
+    def dense(self) -> Dense:
+        return Dense(self.vectors("verses", "doc_id"))
+
+
+def stems(text):
+    return T.stemmed_tokens(T.ortho(text))
+
+
+def _top(ranking: DataFrame) -> DataFrame:
+    return ranking.select("ord", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _rounded(table: DataFrame) -> DataFrame:
+    return table.select(*[F.round(c, 6).alias(c) if c in M.METRICS else F.col(c) for c in table.columns])
+
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    QUERIES[make.__name__] = lambda spark, sf: make(Tables(spark, sf))
+    return make
+
+
+@query
+def tokenize_raw(t: Tables) -> DataFrame:
+    return t.corpus.select("doc_id", F.array_join(T.raw_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def tokenize_stem(t: Tables) -> DataFrame:
+    return t.corpus.select("doc_id", F.array_join(T.stemmed_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def ortho_normalize(t: Tables) -> DataFrame:
+    return t.refs.select("ord", T.ortho(F.col("text")).alias("text"))
+
+
+@query
+def normalize_text(t: Tables) -> DataFrame:
+    return t.corpus.select("doc_id", T.normalized(F.col("text")).alias("text"))
+
+
+@query
+def clean_query(t: Tables) -> DataFrame:
+    return t.refs.select("ord", T.clean_query(F.col("text")).alias("text"))
+
+
+@query
+def prepared_query(t: Tables) -> DataFrame:
+    return t.refs.select("ord", T.prepare_query(F.col("text")).alias("text"))
+
+
+@query
+def book_reference_label(t: Tables) -> DataFrame:
+    return C.labels(t.corpus, t.table("books"))
+
+
+@query
+def key_lookup(t: Tables) -> DataFrame:
+    return C.lookup(t.refs.select("ord", *C.KEY), t.corpus).select("ord", "doc_id")
+
+
+@query
+def verse_span(t: Tables) -> DataFrame:
+    return t.gold
+
+
+@query
+def duplicates_of(t: Tables) -> DataFrame:
+    return C.duplicates_of(t.gold, t.corpus)
+
+
+@query
+def adjacent_keys(t: Tables) -> DataFrame:
+    return C.adjacent(t.gold, t.corpus)
+
+
+@query
+def gold_assembly(t: Tables) -> DataFrame:
+    refs, gold = t.assembled()
+    docs = gold.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda d: d.cast("string")), " ").alias("gold"))
+    return refs.join(docs, "ord").select("ord", "id", "annotation_id", "band", "jaccard", "citation", "gold")
+
+
+@query
+def sibling_gold(t: Tables) -> DataFrame:
+    return G.sibling_gold(*t.assembled())
+
+
+@query
+def jaccard_pairs(t: Tables) -> DataFrame:
+    q = t.tokens(stems, "ord").withColumnRenamed("tokens", "q")
+    d = t.tokens(stems, "doc_id").withColumnRenamed("tokens", "d")
+    pairs = t.gold.join(q, "ord").join(d, "doc_id")
+    return pairs.select("ord", "doc_id", F.round(T.jaccard(F.col("q"), F.col("d")), 6).alias("jaccard"))
+
+
+@query
+def postings_df(t: Tables) -> DataFrame:
+    docs = t.tokens(T.raw_tokens, "doc_id")
+    cf = postings(docs).groupBy("term").agg(F.sum("tf").alias("cf"))
+    return document_frequencies(docs).join(cf, "term")
+
+
+@query
+def bm25_raw_top10(t: Tables) -> DataFrame:
+    return _top(t.bm25(T.raw_tokens).search(t.tokens(T.raw_tokens, "ord"), 10))
+
+
+@query
+def bm25_raw_top10_padded(t: Tables) -> DataFrame:
+    return _top(t.bm25(T.raw_tokens).search(t.tokens(T.raw_tokens, "ord"), 10, pad_zeros=True))
+
+
+@query
+def bm25_stem_top10(t: Tables) -> DataFrame:
+    return _top(t.bm25(stems).search(t.tokens(stems, "ord"), 10))
+
+
+@query
+def bm25_distinct_terms_top10(t: Tables) -> DataFrame:
+    return _top(t.bm25(stems).search(distinct_terms(t.tokens(stems, "ord")), 10))
+
+
+@query
+def bm25_band(t: Tables) -> DataFrame:
+    return _top(t.bm25(stems).band(t.tokens(T.stemmed_tokens, "ord"), 3, 50))
+
+
+@query
+def tfidf_raw_top10(t: Tables) -> DataFrame:
+    return _top(t.tfidf(T.raw_tokens).search(t.tokens(T.raw_tokens, "ord"), 10))
+
+
+@query
+def tfidf_stem_top10(t: Tables) -> DataFrame:
+    return _top(t.tfidf(stems).search(t.tokens(stems, "ord"), 10))
+
+
+def _first_words(t: Tables) -> list[str]:
+    row = t.refs.where("text is not null").orderBy("ord").select(T.raw_tokens(F.col("text")).alias("w")).head()
+    return list(row["w"]) if row else []
+
+
+@query
+def bm25_all_scores(t: Tables) -> DataFrame:
+    """Of the first reference with a text, against every document."""
+    return t.bm25(T.raw_tokens).scores(_first_words(t)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def tfidf_all_scores(t: Tables) -> DataFrame:
+    return t.tfidf(T.raw_tokens).scores(_first_words(t)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _lexical_ranks(t: Tables, depth: int = 100) -> DataFrame:
+    """(ord, band, rank) of the references with gold."""
+    refs, gold = t.assembled()
+    ranks = rank_all(t.bm25(T.raw_tokens), t.tokens(T.raw_tokens, "ord"), gold, depth)
+    return refs.select("ord", "annotation_id", "band").join(ranks, "ord")
+
+
+def _dense_ranks(t: Tables) -> DataFrame:
+    refs, gold = t.assembled()
+    return refs.select("ord", "annotation_id", "band").join(t.dense().ranks(t.vectors("split_annotations", "ord"), gold), "ord")
+
+
+@query
+def first_gold_rank_depth(t: Tables) -> DataFrame:
+    return _lexical_ranks(t).select("ord", "rank")
+
+
+@query
+def dense_top10(t: Tables) -> DataFrame:
+    return _top(t.dense().search(t.vectors("split_annotations", "ord"), 10))
+
+
+@query
+def dense_gold_rank(t: Tables) -> DataFrame:
+    return _dense_ranks(t).select("ord", "rank")
+
+
+@query
+def metrics_overall(t: Tables) -> DataFrame:
+    return _rounded(M.metrics(_lexical_ranks(t)))
+
+
+@query
+def metrics_multi_gold(t: Tables) -> DataFrame:
+    refs, gold = t.assembled()
+    ranking = t.bm25(T.raw_tokens).search(t.tokens(T.raw_tokens, "ord"), 10)
+    return _rounded(M.ranking_metrics(ranking, gold, refs))
+
+
+@query
+def metrics_by_band(t: Tables) -> DataFrame:
+    return _rounded(M.by_band(_lexical_ranks(t)).drop("place"))
+
+
+@query
+def comparison_table(t: Tables) -> DataFrame:
+    runs = {"bm25_raw": _lexical_ranks(t), "dense": _dense_ranks(t)}
+    both = None
+    for run, ranks in runs.items():
+        part = ranks.select(F.lit(run).alias("run"), "ord", "rank")
+        both = part if both is None else both.unionByName(part)
+    return _rounded(M.comparison_table(both))
+
+
+def _folded(t: Tables, ranks: DataFrame) -> DataFrame:
+    return M.fold_metrics(ranks.join(G.hash_group_folds(ranks, FOLDS), "ord"))
+
+
+@query
+def fold_metrics(t: Tables) -> DataFrame:
+    return _rounded(_folded(t, _lexical_ranks(t)))
+
+
+@query
+def fold_summary(t: Tables) -> DataFrame:
+    table = M.summary(_folded(t, _lexical_ranks(t)), _folded(t, _dense_ranks(t)))
+    return table.select("metric", *[F.round(c, 6).alias(c) for c in ("before", "after", "after_std", "delta")])
+
+
+@query
+def band_counts(t: Tables) -> DataFrame:
+    return G.band_counts(t.assembled()[0])
+
+
+@query
+def band_indices(t: Tables) -> DataFrame:
+    return G.band_indices(t.assembled()[0])
+
+
+@query
+def hash_group_folds(t: Tables) -> DataFrame:
+    return G.hash_group_folds(t.refs, FOLDS)
+
+
+@query
+def stratified_group_folds(t: Tables) -> DataFrame:
+    return G.stratified_group_folds(t.assembled()[0], FOLDS)
+
+
+def _negatives(t: Tables) -> DataFrame:
+    refs, gold = t.assembled()
+    dense = t.dense().search(t.vectors("split_annotations", "ord"), 60)
+    band = t.bm25(stems).band(t.tokens(T.stemmed_tokens, "ord"), 3, 50)
+    kept = refs.select("ord")
+    return mine(dense.join(kept, "ord", "left_semi"), band.join(kept, "ord", "left_semi"), G.sibling_gold(refs, gold), t.corpus, 16)
+
+
+@query
+def hard_negatives(t: Tables) -> DataFrame:
+    return _negatives(t)
+
+
+@query
+def training_triples(t: Tables) -> DataFrame:
+    refs, gold = t.assembled()
+    docs = t.corpus.select("doc_id", T.ortho(F.col("text")).alias("text"))
+    return triples(refs, gold, _negatives(t), docs).select("ord", "positive_id", "negative_id", "query", "positive", "negative")
+
+
+@query
+def weight_soup(t: Tables) -> DataFrame:
+    """The mean vector of each label, as (label, pos, x)."""
+    mean = soup(t.table("embeddings").select(F.col("label").alias("param"), F.col("embedding").alias("vector")))
+    return mean.select(F.col("param").alias("label"), F.posexplode("vector").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
+
+
+def _pool(t: Tables) -> DataFrame:
+    refs, gold = t.assembled()
+    queries = distinct_terms(t.tokens(stems, "ord"))
+    lexical = t.bm25(stems).search(queries, 200)
+    tuned = t.dense().search(t.vectors("split_annotations", "ord"), 20)
+    return S.pool(refs, gold, t.corpus, t.table("books"), lexical, tuned, queries, t.tokens(stems, "doc_id"))
+
+
+@query
+def bws_pool(t: Tables) -> DataFrame:
+    return _pool(t).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query
+def bws_bin_counts(t: Tables) -> DataFrame:
+    return S.bin_counts(_pool(t))
+
+
+@query
+def bws_tuples(t: Tables) -> DataFrame:
+    return S.tuples(t.table("build_pool"))
+
+
+@query
+def bws_sheet(t: Tables) -> DataFrame:
+    pairs = t.table("build_pool")
+    return S.sheets(pairs, S.tuples(pairs))[0]
+
+
+@query
+def hash_encode(t: Tables) -> DataFrame:
+    r = E.EncodedRetriever("hashing", E.HashingEncoder)
+    return r.encode_corpus(t.corpus.select("doc_id", "text"))
+
+
+# --- SQL ---------------------------------------------------------------
+
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_SUFFIX = "|".join(T.SUFFIXES)
+
+
+def _ortho(x: str) -> str:
+    cut = f"regexp_replace(coalesce({x}, ''), '(?s){T.LEFTOVER}.*', '')"
+    return f"replace(replace(regexp_replace(nfc_normalize({cut}), '^{_SPACE}+|{_SPACE}+$', '', 'g'), 'aa', 'å'), 'Aa', 'Å')"
+
+
+def _raw(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+
+
+def _stemmed(x: str) -> str:
+    return f"list_transform(list_filter({_raw(x)}, lambda w: w NOT IN ({_STOP})), lambda w: regexp_replace(w, '^(.{{3,}}?)(?:{_SUFFIX})$', '\\1'))"
+
+
+def _even(x: str) -> str:
+    return f"nfc_normalize(trim(regexp_replace({x}, '{_SPACE}+', ' ', 'g')))"
+
+
+def _clean(x: str) -> str:
+    bare = f"translate(coalesce({x}, ''), '{T.QUOTES.replace(chr(39), chr(39) * 2)}', '')"
+    said = rf"(?i),?{_SPACE}*(?:{'|'.join(T.SPEECH_VERBS)}){_SPACE}+(?:{'|'.join(T.PRONOUNS)})(?:[^\p{{L}}\p{{N}}_,.;][^,.;]*|([,.;])|$)"
+    return _even(f"regexp_replace({bare}, '{said}', '\\1', 'g')")
+
+
+_CORPUS = """
+corpus AS (SELECT verse_index AS doc_id, book, chapter, verse, text FROM verses),
+keyed AS (SELECT book, chapter, verse, max(doc_id) AS doc_id FROM corpus GROUP BY ALL),
+gold AS (SELECT r.ord, k.doc_id FROM split_annotations r JOIN keyed k ON r.book = k.book AND r.chapter = k.chapter
+  AND k.verse BETWEEN r.verse AND coalesce(nullif(r.verse_end, 0), r.verse))"""
+_SAME = _CORPUS + f""",
+normal AS (SELECT doc_id, {_even('text')} AS norm FROM corpus WHERE text IS NOT NULL)"""
+_ADJACENT = """
+ends AS (SELECT ord, min(doc_id) AS a, max(doc_id) AS b FROM gold GROUP BY ord),
+adjacent AS (SELECT DISTINCT e.ord, k.doc_id FROM ends e JOIN corpus c ON c.doc_id = e.a JOIN keyed k ON k.book = c.book AND k.chapter = c.chapter AND k.verse = c.verse - 1
+  UNION SELECT e.ord, k.doc_id FROM ends e JOIN corpus c ON c.doc_id = e.b JOIN keyed k ON k.book = c.book AND k.chapter = c.chapter AND k.verse = c.verse + 1)"""
+_REFS = _CORPUS + """,
+bands AS (SELECT id, jaccard_group AS band, jaccard, reference AS citation FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY jaccard_group NULLS LAST, jaccard NULLS LAST, reference NULLS LAST) AS r FROM relation_labeling WHERE id IS NOT NULL) WHERE r = 1),
+refs AS (SELECT s.*, b.band, b.jaccard, b.citation FROM split_annotations s LEFT JOIN bands b ON s.id = b.id WHERE s.ord IN (SELECT ord FROM gold))"""
+_SIBLINGS = """
+siblings AS (SELECT DISTINCT r.ord, g.doc_id FROM refs r JOIN refs o ON r.ord = o.ord OR r.annotation_id = o.annotation_id JOIN gold g ON g.ord = o.ord)"""
+
+
+def _tokens_sql(document: str, asked: str, distinct: bool) -> str:
+    asked = f"list_distinct({asked})" if distinct else asked
+    return f"""
+d AS (SELECT verse_index AS doc_id, coalesce({document}, []) AS toks FROM verses),
+q AS (SELECT ord, coalesce({asked}, []) AS toks FROM split_annotations),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM d) GROUP BY ALL),
+qtfs AS (SELECT ord, term, count(*) AS qtf FROM (SELECT ord, unnest(toks) AS term FROM q) GROUP BY ALL),
+dfs AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tfs GROUP BY term),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(len(toks) AS DOUBLE)) AS av FROM d)"""
+
+
+_RANK = """
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)"""
+
+
+def _bm25_sql(document: str, asked: str, distinct: bool = False) -> str:
+    return _tokens_sql(document, asked, distinct) + """,
+raw AS (SELECT term, ln(n - df + CAST(0.5 AS DOUBLE)) - ln(df + CAST(0.5 AS DOUBLE)) AS i FROM dfs, n),
+idf AS (SELECT term, CASE WHEN i < 0 THEN CAST(0.25 AS DOUBLE) * (SELECT avg(i) FROM raw) ELSE i END AS idf FROM raw),
+scored AS (SELECT ord, doc_id, sum(qtf * idf * (tf * CAST(2.5 AS DOUBLE) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len(toks) / av)))) AS score
+  FROM qtfs JOIN tfs USING (term) JOIN idf USING (term) JOIN d USING (doc_id), n GROUP BY ord, doc_id),""" + _RANK
+
+
+def _tfidf_sql(document: str, asked: str) -> str:
+    return _tokens_sql(document, asked, False) + """,
+idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfs, n),
+dw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tfs JOIN idf USING (term)),
+qw AS (SELECT ord, term, (1 + ln(qtf)) * idf AS w FROM qtfs JOIN idf USING (term)),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY doc_id),
+qn AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM qw GROUP BY ord),
+scored AS (SELECT ord, doc_id, sum(qw.w / qn.norm * dw.w / dn.norm) AS score
+  FROM qw JOIN dw USING (term) JOIN dn USING (doc_id) JOIN qn USING (ord) GROUP BY ord, doc_id),""" + _RANK
+
+
+_STEMS, _QUERY_STEMS = _stemmed(_ortho("text")), _stemmed(_ortho("quote_from_work"))
+_BM25_RAW = _bm25_sql(_raw("text"), _raw("quote_from_work"))
+_SHOW = "SELECT ord, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank "
+
+_VECTORS = """
+units AS (SELECT tbl, row_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v
+  FROM text_vectors WHERE list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))) > 0),
+sims AS (SELECT a.row_id AS ord, b.row_id AS doc_id, list_dot_product(a.v, b.v) AS score FROM units a, units b WHERE a.tbl = 'split_annotations' AND b.tbl = 'verses'),
+dense AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sims)"""
+_DENSE_RANKS = """
+best AS (SELECT s.ord, max(round(s.score, 9)) AS m FROM sims s JOIN gold g ON s.ord = g.ord AND s.doc_id = g.doc_id GROUP BY s.ord),
+dense_ranks AS (SELECT b.ord, 1 + CAST(count_if(round(s.score, 9) > m) AS BIGINT) AS rank FROM best b JOIN sims s ON b.ord = s.ord GROUP BY b.ord)"""
+_LEXICAL_RANKS = """
+lexical_ranks AS (SELECT r.ord, r.annotation_id, r.band, min(k.rank) AS rank FROM refs r LEFT JOIN gold g ON g.ord = r.ord
+  LEFT JOIN (SELECT * FROM ranked WHERE rank <= 100) k ON k.ord = r.ord AND k.doc_id = g.doc_id GROUP BY ALL)"""
+_GAINS = {
+    "p_at_1": "CAST(coalesce(rank = 1, false) AS DOUBLE)",
+    "r_at_10": "CAST(coalesce(rank BETWEEN 1 AND 10, false) AS DOUBLE)",
+    "mrr_at_10": "CASE WHEN rank BETWEEN 1 AND 10 THEN CAST(1 AS DOUBLE) / rank ELSE CAST(0 AS DOUBLE) END",
+    "ndcg_at_10": "CASE WHEN rank BETWEEN 1 AND 10 THEN CAST(1 AS DOUBLE) / log2(rank + CAST(1 AS DOUBLE)) ELSE CAST(0 AS DOUBLE) END",
+}
+_MEANS = ", ".join(f"round(avg({g}), 6) AS {m}" for m, g in _GAINS.items())
+_PLAIN_MEANS = ", ".join(f"avg({g}) AS {m}" for m, g in _GAINS.items())
+_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in M.METRICS)
+_FOLD = "coalesce(CAST(('0x' || substr(md5(annotation_id), 1, 8))::BIGINT % 5 AS INTEGER), 0)"
+_KNOWN = "(VALUES ('quote'), ('paraphrase'), ('allusion')) k(label)"
+_RUN = f"WITH {_REFS}, {_BM25_RAW}, {_LEXICAL_RANKS}"
+_BOTH = f"{_RUN}, {_VECTORS}, {_DENSE_RANKS}"
+
+_NEGATIVES = f"""WITH {_REFS}, {_SIBLINGS}, {_VECTORS}, {_bm25_sql(_STEMS, _stemmed('quote_from_work'))},
+normal AS (SELECT doc_id, {_even('text')} AS norm FROM corpus WHERE text IS NOT NULL),
+excluded AS (SELECT ord, doc_id FROM siblings UNION SELECT s.ord, o.doc_id FROM siblings s JOIN normal n ON n.doc_id = s.doc_id JOIN normal o ON o.norm = n.norm),
+candidates AS (SELECT ord, doc_id, 0 AS src, rank FROM dense WHERE rank <= 60 UNION ALL SELECT ord, doc_id, 1, rank FROM ranked WHERE rank BETWEEN 4 AND 50),
+allowed AS (SELECT ord, doc_id, min(src * 1000 + rank) AS at FROM candidates c WHERE ord IN (SELECT ord FROM refs)
+  AND NOT EXISTS (SELECT 1 FROM excluded e WHERE e.ord = c.ord AND e.doc_id = c.doc_id) GROUP BY ord, doc_id),
+negatives AS (SELECT ord, doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY at) AS position FROM allowed) WHERE position <= 16)"""
+
+_POOL = f"""WITH {_REFS}, {_ADJACENT}, {_VECTORS}, {_bm25_sql(_STEMS, _QUERY_STEMS, True)},
+normal AS (SELECT doc_id, {_even('text')} AS norm FROM corpus WHERE text IS NOT NULL),
+excluded AS (SELECT ord, doc_id FROM gold UNION SELECT g.ord, o.doc_id FROM gold g JOIN normal n ON n.doc_id = g.doc_id JOIN normal o ON o.norm = n.norm UNION SELECT * FROM adjacent),
+a AS (SELECT ord, doc_id FROM ranked WHERE rank <= 3 EXCEPT SELECT * FROM excluded),
+b AS (SELECT ord, doc_id FROM dense WHERE rank <= 3 EXCEPT SELECT * FROM excluded),
+u AS (SELECT * FROM a UNION SELECT * FROM b),
+j AS (SELECT u.ord, u.doc_id, CASE WHEN len(list_distinct(list_concat(q.toks, d.toks))) = 0 THEN 0.0::DOUBLE
+  ELSE len(list_intersect(q.toks, d.toks)) / len(list_distinct(list_concat(q.toks, d.toks)))::DOUBLE END AS overlap FROM u JOIN q USING (ord) JOIN d USING (doc_id)),
+pool AS (SELECT DISTINCT r.id || '__' || c.book || c.chapter || '.' || c.verse AS pair_id, r.id AS annotation_id,
+  coalesce(bk.book_name, c.book) || ' ' || c.chapter || ':' || c.verse AS reference, r.band AS category,
+  CASE WHEN a.ord IS NOT NULL AND b.ord IS NOT NULL THEN '1_both' WHEN a.ord IS NOT NULL THEN '2_bm25_only' WHEN overlap > 0 THEN '3_dfmft_only_jac' ELSE '4_dfmft_only_zero' END AS bin,
+  round(overlap, 6) AS jaccard, r.quote_from_work AS blixen_text, c.text AS bible_text, k.rank AS bm25_lemstem_rank, t.rank AS dfm_ft_rank
+  FROM j JOIN refs r USING (ord) JOIN corpus c USING (doc_id) LEFT JOIN books bk ON bk.book = c.book
+  LEFT JOIN a ON a.ord = j.ord AND a.doc_id = j.doc_id LEFT JOIN b ON b.ord = j.ord AND b.doc_id = j.doc_id
+  LEFT JOIN ranked k ON k.ord = j.ord AND k.doc_id = j.doc_id AND k.rank <= 200 LEFT JOIN dense t ON t.ord = j.ord AND t.doc_id = j.doc_id AND t.rank <= 20)"""
+
+ORACLES: dict[str, str] = {
+    "tokenize_raw": f"SELECT verse_index AS doc_id, array_to_string({_raw('text')}, ' ') AS tokens FROM verses",
+    "tokenize_stem": f"SELECT verse_index AS doc_id, array_to_string({_stemmed('text')}, ' ') AS tokens FROM verses",
+    "ortho_normalize": f"SELECT ord, {_ortho('quote_from_work')} AS text FROM split_annotations",
+    "normalize_text": f"SELECT verse_index AS doc_id, {_even('text')} AS text FROM verses",
+    "clean_query": f"SELECT ord, {_clean('quote_from_work')} AS text FROM split_annotations",
+    "prepared_query": f"SELECT ord, {_ortho(_clean('quote_from_work'))} AS text FROM split_annotations",
+    "book_reference_label": "SELECT verse_index AS doc_id, coalesce(book_name, verses.book) || ' ' || chapter || ':' || verse AS label FROM verses LEFT JOIN books ON books.book = verses.book",
+    "key_lookup": f"WITH {_CORPUS} SELECT r.ord, k.doc_id FROM split_annotations r LEFT JOIN keyed k ON r.book = k.book AND r.chapter = k.chapter AND r.verse = k.verse",
+    "verse_span": f"WITH {_CORPUS} SELECT * FROM gold",
+    "duplicates_of": f"WITH {_SAME} SELECT ord, doc_id FROM gold UNION SELECT g.ord, o.doc_id FROM gold g JOIN normal n ON n.doc_id = g.doc_id JOIN normal o ON o.norm = n.norm",
+    "adjacent_keys": f"WITH {_CORPUS}, {_ADJACENT} SELECT * FROM adjacent",
+    "gold_assembly": f"WITH {_REFS} SELECT r.ord, r.id, r.annotation_id, r.band, r.jaccard, r.citation, (SELECT string_agg(CAST(g.doc_id AS VARCHAR), ' ' ORDER BY g.doc_id) FROM gold g WHERE g.ord = r.ord) AS gold FROM refs r",
+    "sibling_gold": f"WITH {_REFS}, {_SIBLINGS} SELECT * FROM siblings",
+    "jaccard_pairs": f"WITH {_CORPUS}, q AS (SELECT ord, coalesce({_QUERY_STEMS}, []) AS q FROM split_annotations), d AS (SELECT verse_index AS doc_id, coalesce({_STEMS}, []) AS d FROM verses) "
+    "SELECT ord, doc_id, CASE WHEN len(list_concat(q, d)) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(q, d)) / len(list_distinct(list_concat(q, d)))::DOUBLE, 6) END AS jaccard FROM gold JOIN q USING (ord) JOIN d USING (doc_id)",
+    "postings_df": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT verse_index AS doc_id, unnest({_raw('text')}) AS term FROM verses) GROUP BY term",
+    "bm25_raw_top10": f"WITH {_BM25_RAW} {_SHOW} <= 10",
+    "bm25_raw_top10_padded": f"WITH {_BM25_RAW}, padded AS (SELECT ord, doc_id, score FROM scored UNION ALL SELECT q.ord, d.doc_id, 0.0 FROM q, d WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.ord = q.ord AND s.doc_id = d.doc_id)) "
+    "SELECT ord, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(score, 9) DESC, doc_id) AS rank FROM padded) WHERE rank <= 10",
+    "bm25_stem_top10": f"WITH {_bm25_sql(_STEMS, _QUERY_STEMS)} {_SHOW} <= 10",
+    "bm25_distinct_terms_top10": f"WITH {_bm25_sql(_STEMS, _QUERY_STEMS, True)} {_SHOW} <= 10",
+    "bm25_band": f"WITH {_bm25_sql(_STEMS, _stemmed('quote_from_work'))} {_SHOW} BETWEEN 4 AND 50",
+    "tfidf_raw_top10": f"WITH {_tfidf_sql(_raw('text'), _raw('quote_from_work'))} {_SHOW} <= 10",
+    "tfidf_stem_top10": f"WITH {_tfidf_sql(_STEMS, _QUERY_STEMS)} {_SHOW} <= 10",
+    "bm25_all_scores": f"WITH {_BM25_RAW} SELECT d.doc_id, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN (SELECT * FROM scored WHERE ord = (SELECT min(ord) FROM split_annotations WHERE quote_from_work IS NOT NULL)) s ON s.doc_id = d.doc_id",
+    "tfidf_all_scores": f"WITH {_tfidf_sql(_raw('text'), _raw('quote_from_work'))} SELECT d.doc_id, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN (SELECT * FROM scored WHERE ord = (SELECT min(ord) FROM split_annotations WHERE quote_from_work IS NOT NULL)) s ON s.doc_id = d.doc_id",
+    "first_gold_rank_depth": f"{_RUN} SELECT ord, rank FROM lexical_ranks",
+    "dense_top10": f"WITH {_VECTORS} SELECT ord, doc_id, rank, round(score, 6) AS score FROM dense WHERE rank <= 10",
+    "dense_gold_rank": f"WITH {_CORPUS}, {_VECTORS}, {_DENSE_RANKS} SELECT * FROM dense_ranks",
+    "metrics_overall": f"{_RUN} SELECT {_MEANS}, count(*) AS n FROM lexical_ranks",
+    "metrics_multi_gold": f"""{_RUN}, sizes AS (SELECT ord, count(DISTINCT doc_id) AS n_gold FROM gold GROUP BY ord),
+ideal AS (SELECT ord, (SELECT sum(1 / log2(i + 1.0::DOUBLE)) FROM range(1, 11) t(i) WHERE i <= n_gold) AS ideal FROM sizes),
+hits AS (SELECT k.ord, min(k.rank) AS rank, sum(1 / log2(k.rank + 1.0::DOUBLE)) AS dcg FROM ranked k JOIN gold g ON g.ord = k.ord AND g.doc_id = k.doc_id WHERE k.rank <= 10 GROUP BY k.ord)
+SELECT r.ord, {', '.join(f'round({_GAINS[m]}, 6) AS {m}' for m in M.METRICS[:3])}, round(coalesce(dcg / ideal, 0), 6) AS ndcg_at_10
+FROM refs r LEFT JOIN ideal USING (ord) LEFT JOIN hits USING (ord)""",
+    "metrics_by_band": f"""{_RUN}, per AS (SELECT label, count(ord) AS n, {', '.join(f'avg(CASE WHEN ord IS NOT NULL THEN {g} END) AS {m}' for m, g in _GAINS.items())} FROM {_KNOWN} LEFT JOIN lexical_ranks ON band = label GROUP BY label)
+SELECT label, n, {_ROUNDED} FROM per UNION ALL SELECT 'macro-avg', NULL, {', '.join(f'round(avg({m}), 6)' for m in M.METRICS)} FROM per
+UNION ALL SELECT 'overall', count(*), {_MEANS} FROM lexical_ranks""",
+    "comparison_table": f"{_BOTH} SELECT 'bm25_raw' AS run, {_MEANS}, count(*) AS n FROM lexical_ranks UNION ALL SELECT 'dense', {_MEANS}, count(*) FROM dense_ranks",
+    "fold_metrics": f"""{_RUN}, f AS (SELECT *, {_FOLD} AS fold FROM lexical_ranks)
+SELECT fold, 'overall' AS label, count(*) AS n, {_MEANS} FROM f GROUP BY fold
+UNION ALL SELECT x.fold, label, count(f.ord), {', '.join(f'round(avg(CASE WHEN f.ord IS NOT NULL THEN {g} END), 6)' for g in _GAINS.values())}
+FROM (SELECT DISTINCT fold FROM f) x CROSS JOIN {_KNOWN} LEFT JOIN f ON f.fold = x.fold AND f.band = label GROUP BY x.fold, label""",
+    "fold_summary": f"""{_BOTH}, x AS (SELECT {_FOLD} AS fold, {_PLAIN_MEANS} FROM lexical_ranks GROUP BY fold),
+y AS (SELECT {_FOLD.replace('annotation_id', 'r.annotation_id')} AS fold, {', '.join(f'avg({g.replace("rank", "d.rank")}) AS {m}' for m, g in _GAINS.items())} FROM dense_ranks d JOIN refs r USING (ord) GROUP BY fold)
+{' UNION ALL '.join(f"SELECT '{m}' AS metric, round(avg(x.{m}), 6) AS before, round(avg(y.{m}), 6) AS after, round(stddev_pop(y.{m}), 6) AS after_std, round(avg(y.{m}) - avg(x.{m}), 6) AS delta FROM x FULL JOIN y ON x.fold = y.fold" for m in M.METRICS)}""",
+    "band_counts": f"WITH {_REFS} SELECT label AS band, count(ord) AS n FROM {_KNOWN} LEFT JOIN refs ON band = label GROUP BY label",
+    "band_indices": f"WITH {_REFS} SELECT band, ord, row_number() OVER (PARTITION BY band ORDER BY ord) - 1 AS position FROM refs WHERE band IN ('quote', 'paraphrase', 'allusion')",
+    "hash_group_folds": f"SELECT ord, {_FOLD} AS fold FROM split_annotations",
+    "hard_negatives": f"{_NEGATIVES} SELECT * FROM negatives",
+    "training_triples": f"""{_NEGATIVES}, positives AS (SELECT ord, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY doc_id) AS r FROM (SELECT DISTINCT * FROM gold)) WHERE r <= 3)
+SELECT n.ord, p.doc_id AS positive_id, n.doc_id AS negative_id, {_ortho(_clean('r.quote_from_work'))} AS query, {_ortho('a.text')} AS positive, {_ortho('b.text')} AS negative
+FROM negatives n JOIN positives p ON p.ord = n.ord JOIN refs r ON r.ord = n.ord JOIN corpus a ON a.doc_id = p.doc_id JOIN corpus b ON b.doc_id = n.doc_id""",
+    "weight_soup": "SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY label, i",
+    "bws_pool": f"{_POOL} SELECT * FROM pool",
+    "bws_bin_counts": f"{_POOL} SELECT bin, count(*) AS n FROM pool GROUP BY bin",
+}
