@@ -188,7 +188,7 @@ class _Lexical:
         weights = {r["term"]: r["weight"] for r in self._query_weights(terms).collect()}
         total = F.lit(0.0)
         for t, w in sorted(weights.items()):
-            tf = F.size(F.filter("tokens", lambda x, t=t: x == t)).cast("double")
+            tf = F.size(F.filter("tokens", (lambda w: lambda x: x == w)(F.lit(t)))).cast("double")
             total = total + F.when(tf > 0, F.lit(w) * self._column_weight(tf, F.col("side"))).otherwise(0.0)
         return self._sides().select("doc_id", total.alias("score"))
 

@@ -483,9 +483,9 @@ _NEGATIVES = f"""WITH {_REFS}, {_SIBLINGS}, {_VECTORS}, {_bm25_sql(_STEMS, _stem
 normal AS (SELECT doc_id, {_even('text')} AS norm FROM corpus WHERE text IS NOT NULL),
 excluded AS (SELECT ord, doc_id FROM siblings UNION SELECT s.ord, o.doc_id FROM siblings s JOIN normal n ON n.doc_id = s.doc_id JOIN normal o ON o.norm = n.norm),
 candidates AS (SELECT ord, doc_id, 0 AS src, rank FROM dense WHERE rank <= 60 UNION ALL SELECT ord, doc_id, 1, rank FROM ranked WHERE rank BETWEEN 4 AND 50),
-allowed AS (SELECT ord, doc_id, min(src * 1000 + rank) AS at FROM candidates c WHERE ord IN (SELECT ord FROM refs)
+allowed AS (SELECT ord, doc_id, min(src * 1000 + rank) AS place FROM candidates c WHERE ord IN (SELECT ord FROM refs)
   AND NOT EXISTS (SELECT 1 FROM excluded e WHERE e.ord = c.ord AND e.doc_id = c.doc_id) GROUP BY ord, doc_id),
-negatives AS (SELECT ord, doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY at) AS position FROM allowed) WHERE position <= 16)"""
+negatives AS (SELECT ord, doc_id, position FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY place) AS position FROM allowed) WHERE position <= 16)"""
 
 _POOL = f"""WITH {_REFS}, {_ADJACENT}, {_VECTORS}, {_bm25_sql(_STEMS, _QUERY_STEMS, True)},
 normal AS (SELECT doc_id, {_even('text')} AS norm FROM corpus WHERE text IS NOT NULL),
