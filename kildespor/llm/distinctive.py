@@ -18,6 +18,11 @@ points. Records without a term have no row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kildespor.plans.shared import written
@@ -26,19 +31,27 @@ from kildespor.plans.skew import attach
 from .term_counts import term_counts, terms
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (keys…, tokens) to rows (keys…, term, tf, dl)."""
+    for batch in batches:
+        keys, tokens = batch.columns[:-1], batch.columns[-1]
+        row = pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+        words = pc.list_flatten(tokens).dictionary_encode()
+        n = len(words.dictionary)
+        if not n:
+            continue
+        code, tf = np.unique(row * n + words.indices.to_numpy(), return_counts=True)
+        at, length = code // n, np.bincount(row, minlength=batch.num_rows)
+        columns = [k.take(pa.array(at)) for k in keys]
+        columns += [words.dictionary.take(pa.array(code % n)), pa.array(tf, pa.int64()), pa.array(length[at], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "term", "tf", "dl"])
+
+
 def postings(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, term, tf, dl): counted inside each row, so without a shuffle."""
-    t = F.array_sort(terms(F.col(text)))
-    n = F.size("t")
-    # in a sorted array a term's run ends where the next differs
-    runs = F.expr("filter(slice(sequence(1, greatest(size(t), 1)), 1, size(t)), i -> i = size(t) or get(t, i) <> get(t, i - 1))")
-    return (
-        df.where(F.col(text).isNotNull())
-        .select(*keys, t.alias("t"))
-        .withColumn("ends", runs)
-        .select(*keys, n.alias("dl"), "t", "ends", F.posexplode("ends").alias("k", "e"))
-        .select(*keys, F.get("t", F.col("e") - 1).alias("term"), (F.col("e") - F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(0)).cast("bigint").alias("tf"), "dl")
-    )
+    """(keys, term, tf, dl): counted within each batch of rows, so without a shuffle."""
+    rows = df.where(F.col(text).isNotNull()).select(*keys, terms(F.col(text)).alias("t"))
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(_count, f"{kinds}, term string, tf bigint, dl bigint")
 
 
 def term_weights(df: DataFrame, keys: list[str], text: str) -> DataFrame:
