@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kildespor.plans.shared import written
 
-from . import copies, distinctive, encode, lookalike, mixing, splits, term_counts, top_n, truncation
+from . import copies, distinctive, encode, lookalike, mixing, neighbours, splits, term_counts, top_n, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,18 @@ def p5_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return top_n.best_candidates(_table(spark, sf, "build_pool"))
 
 
+def _nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf, "text_vectors"), "vec_id", "embedding")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbour_pairs(_nearest(spark, sf)).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return _nearest(spark, sf).select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"), "position", "cosine")
+
+
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
     texts = distinctive.verse_and_reference_texts(_table(spark, sf, "verses"), _table(spark, sf, "split_annotations"))
     return distinctive.term_weights(texts, ["tbl", "row_id"], "text")
@@ -119,7 +131,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_terms, p5_found, p5_ranked, p7_found, p7_weights, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_rates)
+    for f in (p1_found, p1_records, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_terms, p5_found, p5_ranked, p6_found, p6_neighbours, p7_found, p7_weights, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_rates)
 }
 
 _COPIES = r"""
