@@ -11,6 +11,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 _SPACE = r"[\s\x1c-\x1f]"
 #: Characters that NFC never changes and that never change another.
@@ -32,7 +33,7 @@ STOPWORDS = (
 SUFFIXES = "ernes erne ende enes ene ens ets en et er es e s t".split()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -112,7 +113,7 @@ def pair_id(ref: Column, book: Column, chapter: Column, verse: Column) -> Column
     return F.concat(ref, F.lit("__"), book, chapter.cast("string"), F.lit("."), verse.cast("string"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def three_digits(x: pd.Series) -> pd.Series:
     """'%.3f' as Python rounds, which the JVM's formatting differs from."""
     return x.map(lambda v: None if pd.isna(v) else "%.3f" % v)
