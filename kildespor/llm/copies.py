@@ -83,11 +83,11 @@ LINE_SCHEMA = "book string, chapter string, verse string, text string"
 def verse_rows(verses: DataFrame, lines: DataFrame) -> DataFrame:
     """(scope, id, text) of both tables; a line's scope holds its book, chapter and verse.
 
-    A payload that is null, is no JSON object or lacks one of the three has a
-    null scope, so it is no one's copy.
+    A payload that is null, is no JSON object, or lacks one of the three or has
+    what is no number there, has a null scope, so it is no one's copy.
     """
     line = F.from_json("payload", LINE_SCHEMA)
-    number = lambda c: F.col(f"line.{c}").cast("decimal(30,6)").cast("string")
+    number = lambda c: F.col(f"line.{c}").try_cast("decimal(30,6)").cast("string")
     sep = F.lit("\u0001")
     return verses.select(
         F.lit("verses").alias("scope"), F.col("verse_index").alias("id"), "text"

@@ -9,6 +9,8 @@ are. Counts are kept per source, over all its texts. A text is flagged when
 * its final trigram is common inside the source's texts and ends texts far more
   seldom than a token chosen by chance would (``LIFT``) and it has no full stop
   there, or its final token is a lower-case word and such words end texts that seldom;
+* it is as long, in characters or bytes, as the longest of its source, many others are,
+  and it has no full stop;
 * its final word never stands inside any text and is the beginning of a word
   that does, or has an ending that words don't have;
 * it ends in a word inside a bracket or quotation that is still open, or in a comma;
@@ -33,12 +35,16 @@ SMALL = 60
 #: A word is kept as it is when it is among the last four of so many texts, at least, and there in so large a share of its places; so there are at most 4 / NEAR_END of them.
 NEAR_END, NEAR_END_SHARE = 0.001, 0.3
 
+#: A source has a field limit when so many of its texts, at least, and so large a share are of its greatest length.
+LEAST, CROWD = 4, 0.005
+
 _TOKENS = r"\\p{N}+|[\\p{L}\\p{M}]+|\\n+|\\.{3,}|[^\\s\\p{L}\\p{M}\\p{N}]"
 _WORD = r"^[\\p{L}\\p{M}]"
 
 _TOKENISED = rf"""
-SELECT id, source, text, regexp_extract_all(text, '{_TOKENS}', 0) AS tokens
-FROM (SELECT id, coalesce(nullif(lower(trim(source)), ''), '?') AS source, regexp_replace(text, '(?U)\\s+\\z', '') AS text FROM @docs)
+SELECT id, source, text, chars, bytes, regexp_extract_all(text, '{_TOKENS}', 0) AS tokens
+FROM (SELECT id, coalesce(nullif(lower(trim(source)), ''), '?') AS source, regexp_replace(text, '(?U)\\s+\\z', '') AS text,
+  char_length(text) AS chars, octet_length(text) AS bytes FROM @docs)
 WHERE text <> ''
 """
 
@@ -71,6 +77,14 @@ FROM @counts c JOIN whole ON c.source = whole.source LEFT JOIN words ON c.source
 WHERE c.ends > 0
 """
 
+_LIMITS = f"""
+WITH most AS (SELECT source, count(*) AS texts, max(chars) AS most_chars, max(bytes) AS most_bytes FROM @tokenised GROUP BY source),
+lengths AS (SELECT source, chars, bytes, count(*) AS n FROM @tokenised GROUP BY source, chars, bytes),
+at_most AS (SELECT l.source, any_value(texts) AS texts, any_value(most_chars) AS most_chars, any_value(most_bytes) AS most_bytes,
+  sum(if(chars = most_chars, n, 0)) AS by_chars, sum(if(bytes = most_bytes, n, 0)) AS by_bytes FROM lengths l JOIN most ON l.source = most.source GROUP BY l.source)
+SELECT source, texts, if(by_chars >= greatest({LEAST}, {CROWD} * texts), most_chars, NULL) AS char_limit, if(by_bytes >= greatest({LEAST}, {CROWD} * texts), most_bytes, NULL) AS byte_limit FROM at_most
+"""
+
 _FRAGMENTS = rf"""
 WITH inside AS (
   SELECT DISTINCT explode(transform(filter(slice(tokens, 1, size(tokens) - 1), x -> x RLIKE '{_WORD}'), x -> lower(x))) AS word FROM @tokenised
@@ -107,8 +121,9 @@ _DECIDED = rf"""
 SELECT c.id, c.source,
   text RLIKE '(?:{_BROKEN})\\z' AS broken,
   last_word AND text RLIKE '^{_OPEN}\\z' OR text LIKE '%,' AS open,
-  last_word AND f.word IS NOT NULL AS fragment,
-  coalesce(NOT text RLIKE '{_STOP}\\z' AND n - ends >= 5 AND lift < {LIFT}, false) OR coalesce(final = 'w' AND word_lift < {LIFT}, false) AS unusual
+  f.word IS NOT NULL AS fragment,
+  coalesce(NOT text RLIKE '{_STOP}\\z' AND n - ends >= 5 AND lift < {LIFT}, false) OR coalesce(final = 'w' AND word_lift < {LIFT}, false)
+    OR coalesce((chars = char_limit OR bytes = byte_limit) AND NOT text RLIKE '{_STOP}\\z', false) AS unusual
 FROM @ends c LEFT JOIN @fragments f ON c.word = f.word
 """
 
@@ -132,16 +147,16 @@ def judged(documents: DataFrame) -> DataFrame:
     counts = written(_sql(spark, _COUNTS, classed=classed))
     lifts = written(_sql(spark, _LIFTS, counts=counts))
     fragments = _sql(spark, _FRAGMENTS, tokenised=tokenised)
-    sizes = written(lifts.where("source not in ('*', '?')").groupBy("source").agg(F.max("texts").alias("texts")))
+    limits = written(_sql(spark, _LIMITS, tokenised=tokenised))
     last = F.element_at("tokens", -1)
-    is_word = last.rlike(r"^[\p{L}\p{M}]") & (F.element_at("c", -1).isin("w", "C"))
+    is_word = last.rlike(r"^[\p{L}\p{M}]")
     ends = classed.select(
-        "id", "source", "text", is_word.alias("last_word"), F.element_at("c", -1).alias("final"),
+        "id", "source", "text", "chars", "bytes", is_word.alias("last_word"), F.element_at("c", -1).alias("final"),
         F.concat_ws(" ", F.slice("c", F.size("c") - 2, 3)).alias("tri"),
         F.when(F.element_at("c", -1) == "w", F.lower(last)).alias("word"),
     )
-    judge = F.when(F.col("texts") >= SMALL, F.col("source")).otherwise("*")
-    ends = attach(ends, sizes, ["source"], "texts", "left").select("*", judge.alias("by")).drop("texts").withColumnRenamed("source", "own")
+    judge = F.when((F.col("texts") >= SMALL) & (F.col("source") != "?"), F.col("source")).otherwise("*")
+    ends = attach(ends, limits, ["source"], "texts", "left").select("*", judge.alias("by")).drop("texts").withColumnRenamed("source", "own")
     ends = attach(ends.withColumnRenamed("by", "source"), lifts, ["source", "tri"], "ends", "left").drop("source").withColumnRenamed("own", "source")
     return _sql(spark, _DECIDED, ends=ends, fragments=fragments)
 
