@@ -85,19 +85,21 @@ at_most AS (SELECT l.source, any_value(texts) AS texts, any_value(most_chars) AS
 SELECT source, texts, if(by_chars >= greatest({LEAST}, {CROWD} * texts), most_chars, NULL) AS char_limit, if(by_bytes >= greatest({LEAST}, {CROWD} * texts), most_bytes, NULL) AS byte_limit FROM at_most
 """
 
+_INSIDE = rf"""
+SELECT DISTINCT explode(transform(filter(slice(tokens, 1, size(tokens) - 1), x -> x RLIKE '{_WORD}'), x -> lower(x))) AS word FROM @tokenised
+"""
+
 _FRAGMENTS = rf"""
-WITH inside AS (
-  SELECT DISTINCT explode(transform(filter(slice(tokens, 1, size(tokens) - 1), x -> x RLIKE '{_WORD}'), x -> lower(x))) AS word FROM @tokenised
-), finals AS (
+WITH finals AS (
   SELECT DISTINCT lower(element_at(tokens, -1)) AS word FROM @tokenised WHERE element_at(tokens, -1) RLIKE '{_WORD}'
 ), unseen AS (
-  SELECT finals.word FROM finals LEFT ANTI JOIN inside ON finals.word = inside.word
+  SELECT finals.word FROM finals LEFT ANTI JOIN @inside inside ON finals.word = inside.word
 ), beginnings AS (
   SELECT DISTINCT unseen.word FROM unseen JOIN
-    (SELECT explode(transform(sequence(1, length(word)), i -> left(word, i))) AS word FROM inside) b ON unseen.word = b.word
+    (SELECT explode(transform(sequence(1, length(word)), i -> left(word, i))) AS word FROM @inside) b ON unseen.word = b.word
 ), thirds AS (
   SELECT third, count_if(last) AS ends, count(*) AS n FROM (
-    SELECT inline(transform(sequence(1, length(word) - 2), i -> struct(substr(word, i, 3) AS third, i = length(word) - 2 AS last))) FROM inside WHERE length(word) > 2)
+    SELECT inline(transform(sequence(1, length(word) - 2), i -> struct(substr(word, i, 3) AS third, i = length(word) - 2 AS last))) FROM @inside WHERE length(word) > 2)
   GROUP BY third
 ), odd AS (
   SELECT unseen.word FROM unseen LEFT JOIN thirds ON right(unseen.word, 3) = third WHERE length(unseen.word) > 2 AND coalesce(ends / n, 0) < 0.05
@@ -146,7 +148,8 @@ def judged(documents: DataFrame) -> DataFrame:
     classed = written(_classes(tokenised, kept))
     counts = written(_sql(spark, _COUNTS, classed=classed))
     lifts = written(_sql(spark, _LIFTS, counts=counts))
-    fragments = _sql(spark, _FRAGMENTS, tokenised=tokenised)
+    inside = written(_sql(spark, _INSIDE, tokenised=tokenised))
+    fragments = _sql(spark, _FRAGMENTS, tokenised=tokenised, inside=inside)
     limits = written(_sql(spark, _LIMITS, tokenised=tokenised))
     last = F.element_at("tokens", -1)
     is_word = last.rlike(r"^[\p{L}\p{M}]")
