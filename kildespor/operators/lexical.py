@@ -120,12 +120,16 @@ def _first(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarr
 
 
 class _Lexical:
-    """docs: (doc_id, tokens). Statistics are computed once, when first needed."""
+    """docs: (doc_id, tokens). Tokens are written once, statistics computed once, when first needed."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+        self._given = docs.select("doc_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
         self._kept: dict[str, object] = {}
 
+    @property
+    def docs(self) -> DataFrame:
+        return self._once("docs", lambda: written(self._given))
+
     def _once(self, name: str, make: Callable):
         if name not in self._kept:
             self._kept[name] = make()
@@ -148,7 +152,7 @@ class _Lexical:
 
     def search(self, queries: DataFrame, k: int = 100, pad_zeros: bool = False) -> DataFrame:
         """(ord, doc_id, score, rank), ranks 1 to k; with pad_zeros documents without a match fill up, with score 0."""
-        spark = self.docs.sparkSession
+        spark = self._given.sparkSession
         terms = queries.select("ord", F.explode("tokens").alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
         weights = written(self._query_weights(terms))
         ids = sorted(r["ord"] for r in weights.select("ord").distinct().toLocalIterator())
@@ -183,7 +187,7 @@ class _Lexical:
 
     def scores(self, query: list[str]) -> DataFrame:
         """(doc_id, score) of every document for one query; 0 without a match."""
-        spark = self.docs.sparkSession
+        spark = self._given.sparkSession
         terms = spark.createDataFrame([(0, t) for t in query], "ord bigint, term string").groupBy("ord", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
         weights = {r["term"]: r["weight"] for r in self._query_weights(terms).collect()}
         total = F.lit(0.0)
