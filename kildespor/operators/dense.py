@@ -22,15 +22,24 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit(v: Column) -> Column:
-    """v in double precision with length 1; null for null, empty and all-zero vectors."""
-    length = F.sqrt(dot(v, v))
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column(1)
+        size = column.value_lengths().to_numpy()
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        row = np.repeat(np.arange(len(size)), size)
+        length = np.sqrt(np.bincount(row, flat * flat, minlength=len(size)))
+        good = np.isfinite(length) & (length > 0)
+        keep = good[row]
+        values = flat[keep] / length[row[keep]]
+        offsets = np.r_[0, np.cumsum(size[good])].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], batch.schema.names)
 
 
 def usable(vectors: DataFrame, id_col: str) -> DataFrame:
-    """(id_col, vector) of the usable ones, with length 1."""
-    return vectors.select(id_col, unit(F.col("vector")).alias("vector")).where("vector is not null")
+    """(id_col, vector) of the usable ones, with length 1; those with a null, NaN or infinite number aren't."""
+    rows = vectors.select(F.col(id_col).cast("bigint").alias(id_col), "vector").where(F.col("vector").isNotNull())
+    return rows.mapInArrow(_normalised, f"{id_col} bigint, vector array<double>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -60,13 +69,14 @@ def _tops(shared, k: int):
             doc = table["doc_id"].to_numpy()
             s = np.hstack([best_s, q @ _matrix(table["vector"]).T])
             d = np.hstack([best_d, np.broadcast_to(doc, (len(ids), len(doc)))])
-            if s.shape[1] > 2 * k:  # ties at the edge are kept apart by doc_id below, so keep some more
-                at = np.argpartition(-np.round(s, 9), 2 * k - 1, axis=1)[:, : 2 * k]
-                edge = np.round(np.take_along_axis(s, at, 1), 9).min(axis=1)
-                many = (np.round(s, 9) >= edge[:, None]).sum(axis=1).max() > 2 * k
-                if not many:
-                    s, d = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
-            order = np.lexsort((d, -np.round(s, 9)), axis=1)[:, :k]
+            s9 = np.round(s, 9)
+            if s.shape[1] > 2 * k:
+                at = np.argpartition(-s9, 2 * k - 1, axis=1)[:, : 2 * k]
+                edge = np.take_along_axis(s9, at, 1).min(axis=1)
+                for i in np.flatnonzero((s9 >= edge[:, None]).sum(axis=1) > 2 * k):  # ties at the edge: those with the smaller doc_id
+                    at[i] = np.lexsort((d[i], -s9[i]))[: 2 * k]
+                s, d, s9 = (np.take_along_axis(x, at, 1) for x in (s, d, s9))
+            order = np.lexsort((d, -s9), axis=1)[:, :k]
             best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
         if best_s.shape[1]:
             yield pa.RecordBatch.from_arrays(
