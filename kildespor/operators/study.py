@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kildespor.functions.text import jaccard, pair_id
 from kildespor.operators.corpus import adjacent, duplicates_of, labels
+from kildespor.plans.shared import written
 
 # Names of the pool's bins, caps within a tuple, and defaults.
 BINS = ("1_both", "2_bm25_only", "3_dfmft_only_jac", "4_dfmft_only_zero")
 TOP_K, REPS, TUPLE_SIZE, MAX_PER_ANNOTATION, MAX_PER_BIN, DEFAULT_SEED = 3, 4, 4, 2, 2, 20260906
-#: A study is judged by people; a larger pool than this is no study and is refused.
+#: So many pairs are drawn from at once, about; a larger pool is drawn from in blocks by hash.
 MAX_PAIRS = 100_000
 
 
@@ -63,52 +67,111 @@ def draw_tuples(pairs: list[tuple[str, str, str]], reps: int = REPS, size: int =
     places left, at most MAX_PER_BIN of a bin and MAX_PER_ANNOTATION of an
     annotation, no pair twice; the first that can't be filled ends the drawing.
     """
+    drawn, left = _drawn([(*pair, reps) for pair in pairs], size, seed)
+    return drawn, sum(left.values())
+
+
+def _drawn(pairs: list[tuple[str, str, str, int]], size: int, seed: int) -> tuple[list[list[str]], Counter]:
+    """(tuples, places left of each pair) of (pair_id, annotation_id, bin, places)."""
     rng = random.Random(seed)
-    about = {p: (a, b) for p, a, b in pairs}
+    about = {p: (a, b) for p, a, b, _ in pairs}
     waiting: dict[str, list[str]] = {}
-    for p, _, b in pairs:
-        waiting.setdefault(b, []).extend([p] * reps)
+    for p, _, b, places in pairs:
+        waiting.setdefault(b, []).extend([p] * places)
     for places in waiting.values():
         rng.shuffle(places)
+        places.reverse()  # the first is taken, which is fast at the end
     tuples = []
     while sum(map(len, waiting.values())) >= size:
-        drawn: list[tuple[str, int, str]] = []  # bin, place, pair
+        drawn: list[tuple[str, str]] = []  # bin, pair
         notes, bins = Counter(), Counter()
         while len(drawn) < size:
             found = None
             for b in sorted(waiting, key=lambda b: -len(waiting[b])):
                 if bins[b] >= MAX_PER_BIN:
                     continue
-                taken = {p for _, _, p in drawn}
-                found = next(((b, i, p) for i, p in enumerate(waiting[b]) if p not in taken and notes[about[p][0]] < MAX_PER_ANNOTATION), None)
+                taken = {p for _, p in drawn}
+                places = waiting[b]
+                found = next(((b, i) for i in range(len(places) - 1, -1, -1) if places[i] not in taken and notes[about[places[i]][0]] < MAX_PER_ANNOTATION), None)
                 if found:
                     break
             if not found:
                 break
-            b, i, p = found
-            del waiting[b][i]
-            drawn.append(found)
+            b, i = found
+            p = waiting[b].pop(i)
+            drawn.append((b, p))
             notes[about[p][0]] += 1
             bins[b] += 1
         if len(drawn) < size:
-            for b, _, p in drawn:
+            for b, p in drawn:
                 waiting[b].append(p)
             break
-        names = [p for _, _, p in drawn]
+        names = [p for _, p in drawn]
         rng.shuffle(names)
         tuples.append(names)
-    return tuples, sum(map(len, waiting.values()))
+    return tuples, Counter(p for places in waiting.values() for p in places)
+
+
+_ROW = ["pair_id", "annotation_id", "bin", "reference"]
+_BLOCK = pa.schema([("block", pa.int32()), ("number", pa.int32()), ("position", pa.int32()), *[(c, pa.string()) for c in _ROW], ("places", pa.int32())])
+
+
+def _block(size: int, seed: int, turn: int):
+    """A block's pairs to its tuples, numbered from 1, and the pairs with places left, numbered 0."""
+
+    def draw(table: pa.Table) -> pa.Table:
+        def order(r):  # as Spark orders strings
+            return [(r[c] is not None, (r[c] or "").encode()) for c in ("bin", "annotation_id", "reference", "pair_id")]
+
+        rows = sorted(table.to_pylist(), key=order)
+        block = rows[0]["block"]
+        drawn, left = _drawn([(r["pair_id"], r["annotation_id"], r["bin"], r["places"]) for r in rows], size, seed + 1_000_003 * turn + block)
+        out = [{"block": block, "number": n, "position": i, "pair_id": p} for n, t in enumerate(drawn, 1) for i, p in enumerate(t, 1)]
+        out += [{**r, "number": 0, "places": left[r["pair_id"]]} for r in rows if left[r["pair_id"]]]
+        return pa.Table.from_pylist(out, schema=_BLOCK)
+
+    return draw
+
+
+def _usable(left: DataFrame, reps: int, seed: int, turn: int) -> tuple[DataFrame, int]:
+    """(pairs with places left that can still be drawn, their number); once those outside the largest bin are few, all of them with as many of it as they can go with."""
+    counts = sorted(left.groupBy("bin").count().collect(), key=lambda r: (-r["count"], r["bin"] or ""))
+    total = sum(r["count"] for r in counts)
+    others = total - (counts[0]["count"] if counts else 0)
+    if total <= MAX_PAIRS or others > MAX_PAIRS // (reps + 1):
+        return left, total
+    largest = F.col("bin").eqNullSafe(F.lit(counts[0]["bin"]))
+    some = left.where(largest).orderBy(F.xxhash64("pair_id", F.lit(seed), F.lit(turn)), "pair_id").limit(reps * others)
+    return left.where(~largest).unionByName(some), others + min(reps * others, counts[0]["count"])
 
 
 def tuples(pairs: DataFrame, reps: int = REPS, size: int = TUPLE_SIZE, seed: int = DEFAULT_SEED) -> DataFrame:
-    """(tuple_id, position, pair_id). The pool is read in the order of its file: bin, annotation_id, reference."""
-    rows = pairs.select("pair_id", "annotation_id", "bin", "reference").where("pair_id is not null").dropDuplicates(["pair_id"])
-    rows = rows.orderBy("bin", "annotation_id", "reference", "pair_id").limit(MAX_PAIRS + 1).collect()
-    if len(rows) > MAX_PAIRS:
-        raise ValueError(f"a study of over {MAX_PAIRS} pairs")
-    drawn, _ = draw_tuples([(r["pair_id"], r["annotation_id"], r["bin"]) for r in rows], reps, size, seed)
-    flat = [(f"T{n:04d}", i, p) for n, t in enumerate(drawn, 1) for i, p in enumerate(t, 1)]
-    return pairs.sparkSession.createDataFrame(flat, "tuple_id string, position int, pair_id string")
+    """(tuple_id, position, pair_id). The pool is read in the order of its file: bin, annotation_id, reference.
+
+    A pool over MAX_PAIRS is split into blocks by a hash of the pair, each drawn from by itself on the executors.
+    The places that blocks leave over are split and drawn from again, until they are one block or give no tuple.
+    """
+    spark = pairs.sparkSession
+    rows = written(pairs.select(*_ROW).where("pair_id is not null").dropDuplicates(["pair_id"]).withColumn("places", F.lit(reps)))
+    count, turn, before, done = rows.count(), 0, 0, []
+    while True:
+        blocks = max(1, math.ceil(count / MAX_PAIRS))
+        block = F.pmod(F.xxhash64("pair_id", F.lit(seed), F.lit(turn)), F.lit(blocks)).cast("int")
+        split = rows.withColumn("block", block).repartition(blocks, "block")
+        kinds = "block int, number int, position int, pair_id string, annotation_id string, bin string, reference string, places int"
+        out = written(split.groupBy("block").applyInArrow(_block(size, seed, turn), kinds))
+        drawn, offsets = 0, []
+        for r in sorted(out.groupBy("block").agg(F.max("number").alias("n")).collect()):
+            offsets.append((r["block"], before + drawn))
+            drawn += r["n"]
+        offset = F.broadcast(spark.createDataFrame(offsets, "block int, before int"))
+        done.append(
+            out.where("number > 0").join(offset, "block").select(F.format_string("T%04d", F.col("number") + F.col("before")).alias("tuple_id"), "position", "pair_id")
+        )
+        if blocks == 1 or not drawn:
+            return reduce(DataFrame.unionByName, done)
+        before, turn = before + drawn, turn + 1
+        rows, count = _usable(out.where("number = 0").select(*_ROW, "places"), reps, seed, turn)
 
 
 def sheets(pairs: DataFrame, drawn: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -189,6 +189,32 @@ def test_tuples_keep_caps():
     assert S.draw_tuples(pairs, seed=1) == (drawn, left) and S.draw_tuples([]) == ([], 0)
 
 
+def test_tuples_of_a_pool_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = [(f"p{i}", "a0" if i % 10 == 0 else f"a{rng.randrange(200)}", rng.choices(S.BINS, [2, 10, 60, 28])[0], "r") for i in range(1500)]
+    whole = S.draw_tuples([p[:3] for p in sorted(pairs, key=lambda p: (p[2], p[1], p[3], p[0]))])[0]
+    table = spark.createDataFrame(pairs, "pair_id string, annotation_id string, bin string, reference string")
+
+    def drawn():
+        found = {}
+        for r in S.tuples(table).collect():
+            found.setdefault(r["tuple_id"], {})[r["position"]] = r["pair_id"]
+        return {t: [x[i] for i in range(1, 5)] for t, x in found.items()}
+
+    assert drawn() == {f"T{n:04d}": t for n, t in enumerate(whole, 1)}
+    monkeypatch.setattr(S, "MAX_PAIRS", 100)
+    got = drawn()
+    assert sorted(got) == sorted(f"T{n:04d}" for n in range(1, len(got) + 1))
+    assert len(got) >= 0.99 * len(whole)
+    about = {p: (a, b) for p, a, b, _ in pairs}
+    assert max(Counter(p for t in got.values() for p in t).values()) <= S.REPS
+    for t in got.values():
+        assert len(set(t)) == 4
+        assert max(Counter(about[p][0] for p in t).values()) <= S.MAX_PER_ANNOTATION
+        assert max(Counter(about[p][1] for p in t).values()) <= S.MAX_PER_BIN
+    assert drawn() == got
+
+
 def test_encoding_and_its_cache(spark, tmp_path, rows):
     docs = spark.createDataFrame([(1, "Paa Bjerget"), (2, None), (3, "på bjerget")], "doc_id bigint, text string")
     r = EncodedRetriever("hashing", HashingEncoder, cache_dir=str(tmp_path))
