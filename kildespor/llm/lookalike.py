@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kildespor.plans.shared import written
 
-#: Texts of only these characters need nothing but their white space made even.
-PLAIN = r"\A[\x20-\x7E\xA1-\xAC\xAE-\xFF‐-―‘-‟†-•…]*\z"
+#: Texts of only these characters need nothing but their white space made even; the micro sign and U+2011 are folded to others.
+PLAIN = r"\A[\x20-\x7E\xA1-\xAC\xAE-\xB4\xB6-\xFF‐‒-―‘-‟†-•…]*\z"
 #: Latin letters outside the usual ranges that stand for one in it.
 _LATIN_VARIANTS = "ɡɑ"
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")

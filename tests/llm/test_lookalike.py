@@ -41,6 +41,13 @@ def test_different_to_the_reader(spark, rows, a, b):
     assert got[0] != got[1] and rows(lookalike.same_to_the_reader(out)) == []
 
 
+@pytest.mark.parametrize("plain, odd", [("en\u2010to", "en\u2011to"), ("5 \u03bcm", "5 \u00b5m")])
+def test_a_character_has_one_form_in_plain_texts_and_others(spark, rows, plain, odd):
+    got, out = forms(spark, [plain, odd, odd + "\u200b"])
+    assert got == {0: plain, 1: plain, 2: plain}
+    assert rows(lookalike.same_to_the_reader(out)) == [("t", 0, 1), ("t", 0, 2), ("t", 1, 2)]
+
+
 def test_foreign_words_stay_and_unknown_results_too(spark):
     got, _ = forms(spark, ["λόγος", "αβρον", "ѕvamр", "ordet", None, "", " ​\n", "ordet ordet"])
     assert got == {0: "λόγος", 1: "αβρον", 2: "ѕvamр", 3: "ordet", 4: None, 5: "", 6: "", 7: "ordet ordet"}
