@@ -4,7 +4,8 @@ Method: word trigrams inside texts against those at ends, in SQL. Tokens are
 generalised before counting (a lower-case word, a capitalised one, a number,
 else the mark itself), as almost every trigram of plain words is seen once;
 words that mostly stand near ends (signatures, a closing formula) stay as they
-are. Counts are kept per source, over all its texts. A text is flagged when
+are. Counts are kept per source, over all its texts, but ends only of those that
+none of the other rules flags: cut ends are no norm. A text is flagged when
 
 * its final trigram is common inside the source's texts and ends texts far more
   seldom than a token chosen by chance would (``LIFT``) and it has no full stop
@@ -18,7 +19,7 @@ are. Counts are kept per source, over all its texts. A text is flagged when
   precedes it or in brackets), in half a character reference or tag, or in the
   character that stands for broken bytes.
 
-A source with fewer than ``SMALL`` texts, and a missing one, is judged by the
+A source with fewer than ``SMALL`` such texts, and a missing one, is judged by the
 counts of all sources. Null, empty and blank texts are no cases; white space at
 the end is ignored; repeated rows count each; an empty table gives no rows.
 """
@@ -69,6 +70,15 @@ WITH places AS (
 SELECT coalesce(source, '*') AS source, tri, one, sum(ends) AS ends, sum(n) AS n FROM counted GROUP BY GROUPING SETS ((source, tri, one), (tri, one))
 """
 
+#: Ends count only where no other rule flags the text; where one does, its last place is one inside a text.
+_NORMS = """
+WITH whole_ends AS (
+  SELECT coalesce(source, '*') AS source, tri, final AS one, CAST(count(*) AS DOUBLE) AS ends FROM @flagged
+  WHERE NOT (broken OR open OR fragment OR at_limit) GROUP BY GROUPING SETS ((source, tri, final), (tri, final))
+)
+SELECT c.source, c.tri, c.one, coalesce(e.ends, 0) AS ends, c.n FROM @counts c LEFT JOIN whole_ends e ON c.source = e.source AND c.tri = e.tri AND c.one = e.one
+"""
+
 _LIFTS = """
 WITH whole AS (SELECT source, sum(ends) AS texts, sum(ends) / sum(n) AS base FROM @counts GROUP BY source),
 words AS (SELECT source, sum(ends) / sum(n) AS rate FROM @counts WHERE one = 'w' GROUP BY source)
@@ -77,6 +87,10 @@ FROM @counts c JOIN whole ON c.source = whole.source LEFT JOIN words ON c.source
 WHERE c.ends > 0
 """
 
+_WHOLES = """
+SELECT source, count(*) AS texts, count_if(NOT (broken OR open OR fragment OR at_limit)) AS wholes FROM @flagged GROUP BY source
+"""
+
 _LIMITS = f"""
 WITH most AS (SELECT source, count(*) AS texts, max(chars) AS most_chars, max(bytes) AS most_bytes FROM @tokenised GROUP BY source),
 lengths AS (SELECT source, chars, bytes, count(*) AS n FROM @tokenised GROUP BY source, chars, bytes),
@@ -119,16 +133,21 @@ _OPEN = r"(?s).*(?:[(][^()]*|\\[[^\\[\\]]*|»[^»«]*)[\\p{L}\\p{M}]"
 #: A full stop, question or exclamation mark with what may close after it.
 _STOP = r"[.!?][\\p{Pe}\\p{Pf}\\p{Pi}\\x22\\x27]*"
 
-_DECIDED = rf"""
-SELECT c.id, c.source,
+_FLAGGED = rf"""
+SELECT c.id, c.source, c.tri, c.final, text RLIKE '{_STOP}\\z' AS stopped,
   text RLIKE '(?:{_BROKEN})\\z' AS broken,
   last_word AND text RLIKE '^{_OPEN}\\z' OR text LIKE '%,' AS open,
   f.word IS NOT NULL AS fragment,
-  coalesce(NOT text RLIKE '{_STOP}\\z' AND n - ends >= 5 AND lift < {LIFT}, false) OR coalesce(final = 'w' AND word_lift < {LIFT}, false)
-    OR coalesce((chars = char_limit OR bytes = byte_limit) AND NOT text RLIKE '{_STOP}\\z', false) AS unusual
+  coalesce((chars = char_limit OR bytes = byte_limit) AND NOT text RLIKE '{_STOP}\\z', false) AS at_limit
 FROM @ends c LEFT JOIN @fragments f ON c.word = f.word
 """
 
+_DECIDED = f"""
+SELECT id, source, broken, open, fragment,
+  coalesce(NOT stopped AND n - ends >= 5 AND lift < {LIFT}, false) OR coalesce(final = 'w' AND word_lift < {LIFT}, false) OR at_limit AS unusual
+FROM @ends
+"""
+
 
 def _sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
     """query over tables, which it names as @name."""
@@ -147,7 +166,6 @@ def judged(documents: DataFrame) -> DataFrame:
     kept = F.lit(sorted(r["word"] for r in near.collect())) if n else F.array().cast("array<string>")  # at most 4 / NEAR_END words
     classed = written(_classes(tokenised, kept))
     counts = written(_sql(spark, _COUNTS, classed=classed))
-    lifts = written(_sql(spark, _LIFTS, counts=counts))
     inside = written(_sql(spark, _INSIDE, tokenised=tokenised))
     fragments = _sql(spark, _FRAGMENTS, tokenised=tokenised, inside=inside)
     limits = written(_sql(spark, _LIMITS, tokenised=tokenised))
@@ -158,10 +176,14 @@ def judged(documents: DataFrame) -> DataFrame:
         F.concat_ws(" ", F.slice("c", F.size("c") - 2, 3)).alias("tri"),
         F.when(F.element_at("c", -1) == "w", F.lower(last)).alias("word"),
     )
-    judge = F.when((F.col("texts") >= SMALL) & (F.col("source") != "?"), F.col("source")).otherwise("*")
-    ends = attach(ends, limits, ["source"], "texts", "left").select("*", judge.alias("by")).drop("texts").withColumnRenamed("source", "own")
+    ends = attach(ends, limits, ["source"], "texts", "left").drop("texts")
+    flagged = written(_sql(spark, _FLAGGED, ends=ends, fragments=fragments))
+    lifts = written(_sql(spark, _LIFTS, counts=written(_sql(spark, _NORMS, counts=counts, flagged=flagged))))
+    wholes = written(_sql(spark, _WHOLES, flagged=flagged))
+    judge = F.when((F.col("wholes") >= SMALL) & (F.col("source") != "?"), F.col("source")).otherwise("*")
+    ends = attach(flagged, wholes, ["source"], "texts", "left").select("*", judge.alias("by")).drop("texts", "wholes").withColumnRenamed("source", "own")
     ends = attach(ends.withColumnRenamed("by", "source"), lifts, ["source", "tri"], "ends", "left").drop("source").withColumnRenamed("own", "source")
-    return _sql(spark, _DECIDED, ends=ends, fragments=fragments)
+    return _sql(spark, _DECIDED, ends=ends)
 
 
 def _classes(tokenised: DataFrame, kept) -> DataFrame:

@@ -45,6 +45,27 @@ def test_field_limits_are_found_and_verse_and_signatures_are_whole(spark):
     assert rates["avis"]["texts"] == 400 and rates["avis"]["truncated"] == len([i for i in found if i % 3 == 0])
 
 
+def test_a_source_broken_off_in_most_of_its_texts(spark):
+    rows, _ = corpus()
+    rng = random.Random(13)
+    prose = [t for _, s, t in rows if s == "Avis "]
+    cut, whole = set(), set()
+    for i in range(600):
+        text = rng.choice(prose)[:280].rsplit(".", 1)[0] + "."
+        if i % 10 < 8:
+            at = rng.randrange(len(text) // 3, len(text) - 1)
+            after_word = text[at - 1].isalpha() and text[at] == " "
+            text = text[:at].rstrip(" .!?")
+            if after_word and text.rsplit(" ", 1)[-1].islower():
+                cut.add(5000 + i)
+        else:
+            whole.add(5000 + i)
+        rows.append((5000 + i, "dagbog", text))
+    found = {r["id"] for r in truncation.truncated(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()}
+    assert len(cut) > 40 and len(found & cut) >= 0.95 * len(cut) and len(found & whole) <= 0.05 * len(whole)
+    assert sum(i < 5000 and i % 3 == 1 for i in found) <= 0.02 * 400  # verse without full stops
+
+
 MARKED = ["Han gik ud og så at de var kom…", "Han gik ud og så at de [...]", "Og saa stod h[…]", "Han gik til S&oslas", "Han gik til &#82", "Han gik <i", "Han gik hj�", "Han gik, (som de", "Han gik, og de,"]
 WHOLE = ["Han gik ud ...", "Han gik (dog).", "Om Ask og Embla", "Han gik ud.\nSLUT", "Han gik.«", "", "  ", None]
 
