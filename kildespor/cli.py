@@ -13,7 +13,9 @@ from kildespor.functions.books import books
 from kildespor.operators import gold as G, metrics as M, study as S
 from kildespor.operators.encode import EncodedRetriever, HashingEncoder
 from kildespor.operators.lexical import BM25, Tfidf, distinct_terms, rank_all
-from kildespor.operators.tuning import TuningConfig, cross_validate
+from kildespor.operators.trainers import DimensionTrainer
+from kildespor.operators.tuning import Fit, Pretraining, Texts, Tuning, cross_validate, results
+from kildespor.plans.shared import written
 from kildespor.session import session
 from kildespor.sources import files
 
@@ -28,9 +30,9 @@ def _load(spark, folders: files.Folders):
 
 
 def _encoder(name: str):
-    """'module:function' of a function (model name) -> encoder factory; 'hashing' needs none."""
+    """'module:function' of a function (model name, device) -> encoder factory; 'hashing' needs none."""
     if name == "hashing":
-        return lambda model: HashingEncoder
+        return lambda model, device: HashingEncoder
     module, _, function = name.partition(":")
     return getattr(importlib.import_module(module), function)
 
@@ -71,28 +73,37 @@ def rank_dense(args, spark, folders) -> None:
     runs = {}
     for model in args.models:
         for use_ortho in (True, False) if args.ablate_ortho else (not args.no_ortho,):
-            r = EncodedRetriever(model, _encoder(args.encoder)(model), use_ortho, args.clean_queries, args.batch_size, str(folders.embeddings))
+            r = EncodedRetriever(model, _encoder(args.encoder)(model, args.device), use_ortho, args.clean_queries, args.batch_size, str(folders.embeddings))
             r.encode_corpus(corpus)
+            print(T.run_label(model, use_ortho))
             runs[T.run_label(model, use_ortho)] = refs.select("ord", "band").join(r.ranks(refs, gold), "ord")
     _report(runs, args.bands)
 
 
 def tune(args, spark, folders) -> None:
     corpus, refs, gold = _load(spark, folders)
-    config = TuningConfig(
-        args.model, use_ortho=not args.no_ortho, clean_queries=not args.no_clean_queries, pretrain=args.pretrain, folds=args.folds, epochs=args.epochs,
-        batch_size=args.batch_size, learning_rate=args.lr, n_seeds=args.seeds, device=args.device,
+    config = Tuning(
+        args.model, Texts(not args.no_ortho, not args.no_clean_queries), pretraining=Pretraining(args.pretrain),
+        fit=Fit(args.epochs, args.batch_size, rate=args.lr, device=args.device), folds=args.folds, souped=args.seeds,
     )
     print(config.describe())
-    trainer = importlib.import_module(args.trainer)  # has make(state), train(examples, base, seed), mix(states)
+    if args.trainer == "dimensions":
+        trainer = DimensionTrainer(spark)
+    else:
+        module, _, name = args.trainer.partition(":")
+        trainer = getattr(importlib.import_module(module), name)(spark)
     out = f"{args.out_dir or folders.artifacts}"
-    result = cross_validate(
-        corpus, refs, gold, config, trainer.make, trainer.train, trainer.mix, args.model,
-        after_fold=lambda fold, ranks: files.write_json(ranks, f"{out}/cv_checkpoint", "overwrite" if fold == 0 else "append"),
-    )
+
+    def after_fold(fold: int, table: DataFrame, ranks: DataFrame) -> None:
+        files.write_json(table, f"{out}/cv_checkpoint/metrics", "append" if fold else "overwrite")
+        files.write_json(ranks.withColumn("fold", F.lit(fold)), f"{out}/cv_checkpoint/ranks", "append" if fold else "overwrite")
+        r = table.where("label = 'overall'").head()
+        print(f"fold {fold}: R@10 {r['r_at_10']:.3f} of {r['n']}")
+
+    result = cross_validate(corpus, refs, gold, config, trainer, f"{out}/domain_pretrained", after_fold)
     _show(result["summary"])
-    for name in ("folds_before", "folds_after", "zero_shot_ranks", "out_of_fold_ranks", "out_of_fold_top"):
-        files.write_json(result[name], f"{out}/results/{name}")
+    _show(result["band_means"])
+    print(files.write_document(spark, *results(result), f"{out}/results.json"))
 
 
 def build_study(args, spark, folders) -> None:
@@ -101,12 +112,14 @@ def build_study(args, spark, folders) -> None:
     files.check_alignment(docs, corpus)
     queries = distinct_terms(refs.join(asked, "id").select("ord", "tokens"))
     tuned = refs.select("ord", "id").join(files.read_rankings(spark, folders.file("rankings")), "id").select("ord", "doc_id", "rank")
-    pairs = S.pool(refs, gold, corpus, books(spark), BM25(docs).search(queries, 200), tuned, queries, docs).cache()
+    pairs = S.pool(refs, gold, corpus, books(spark), BM25(docs).search(queries, 200), tuned, queries, docs)
+    pairs = written(pairs)
     S.bin_counts(pairs).orderBy("bin").show()
     out = f"{args.out_dir or folders.artifacts}/bws"
     print(files.write_pool(pairs, out))
-    drawn = S.tuples(pairs, reps=args.reps, seed=args.seed)
-    print(drawn.select(F.count_distinct("tuple_id")).head()[0], "tuples")
+    drawn = written(S.tuples(pairs, reps=args.reps, seed=args.seed))
+    left = S.left_over(pairs, drawn, args.reps).head()[0]
+    print(drawn.select(F.count_distinct("tuple_id")).head()[0], "tuples,", left, "places left over")
     print(*files.write_study(*S.sheets(pairs, drawn), out), sep="\n")
 
 
@@ -114,6 +127,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="kildespor", description=__doc__)
     top.add_argument("--root", default=".")
     top.add_argument("--master")
+    top.add_argument("--checkpoint-dir", help="folder that all executors share, for tables that are written on the way; else spark.checkpoint.dir")
     sub = top.add_subparsers(required=True)
 
     p = sub.add_parser("rank-lexical")
@@ -126,20 +140,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--models", nargs="+", default=["hashing"])
     p.add_argument("--encoder", default="hashing", help="module:function from a model's name to an encoder factory")
     p.add_argument("--batch-size", type=int, default=64)
+    p.add_argument("--device")
     for flag in ("--no-ortho", "--clean-queries", "--ablate-ortho", "--bands"):
         p.add_argument(flag, action="store_true")
     p.set_defaults(run=rank_dense)
 
     p = sub.add_parser("tune")
-    d = TuningConfig("hashing")
+    d = Tuning("hashing")
     p.add_argument("--model", default=d.model)
-    p.add_argument("--trainer", required=True, help="module with make, train and mix")
+    p.add_argument("--trainer", default="dimensions", help="module:class of a Trainer that takes the session")
     p.add_argument("--folds", type=int, default=d.folds)
-    p.add_argument("--seeds", type=int, default=d.n_seeds)
-    p.add_argument("--epochs", type=int, default=d.epochs)
-    p.add_argument("--batch-size", type=int, default=d.batch_size)
-    p.add_argument("--lr", type=float, default=d.learning_rate)
-    p.add_argument("--pretrain", choices=["none", "tsdae", "simcse"], default=d.pretrain)
+    p.add_argument("--seeds", type=int, default=d.souped)
+    p.add_argument("--epochs", type=int, default=d.fit.epochs)
+    p.add_argument("--batch-size", type=int, default=d.fit.batch)
+    p.add_argument("--lr", type=float, default=d.fit.rate)
+    p.add_argument("--pretrain", choices=["none", "tsdae", "simcse"], default=d.pretraining.kind)
     p.add_argument("--device")
     p.add_argument("--out-dir")
     for flag in ("--no-ortho", "--no-clean-queries"):
@@ -156,7 +171,10 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(args, session(args.master), files.Folders(args.root))
+    spark = session(args.master)
+    if args.checkpoint_dir:
+        spark.conf.set("spark.checkpoint.dir", args.checkpoint_dir)
+    args.run(args, spark, files.Folders(args.root))
 
 
 if __name__ == "__main__":

@@ -90,8 +90,7 @@ def raw_tokens(text: Column) -> Column:
 
 def stemmed_tokens(text: Column) -> Column:
     """Stems of the words that aren't stop words. Null gives null."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.transform(F.filter(raw_tokens(text), lambda w: ~F.array_contains(stop, w)), stem)
+    return F.transform(F.filter(raw_tokens(text), lambda w: ~w.isin(*STOPWORDS)), stem)
 
 
 def split_tokens(text: Column) -> Column:
@@ -119,6 +118,10 @@ def three_digits(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else "%.3f" % v)
 
 
+def tuple_id(number: Column) -> Column:
+    return F.format_string("T%04d", number)
+
+
 def prefixes_for(model: str) -> tuple[str, str]:
     """What an encoder of this name wants before (queries, passages)."""
     return ("query: ", "passage: ") if "e5" in model.lower() else ("", "")

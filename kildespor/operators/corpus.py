@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kildespor.functions.text import normalized, verse_label
+from kildespor.plans.shared import written
 
 KEY = ["book", "chapter", "verse"]
 
@@ -42,22 +43,20 @@ def spans(refs: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def same_text(corpus: DataFrame) -> DataFrame:
-    """(doc_id, text_class): documents with one normalised text are in one class, named by its smallest doc_id.
+    """(doc_id, h): documents with one normalised text have one hash, of 256 bits.
 
-    Null texts are in no class, empty ones are one. The class is by the text's
-    256-bit hash, so only hashes are shuffled.
+    Null texts have none, empty ones one of their own. It is written once, as
+    composing accents is the costly part, and only hashes are shuffled.
     """
-    hashed = corpus.where(F.col("text").isNotNull()).select("doc_id", F.sha2(normalized(F.col("text")), 256).alias("h"))
-    firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("text_class"))
-    return hashed.join(firsts, "h").select("doc_id", "text_class")
+    return written(corpus.where(F.col("text").isNotNull()).select("doc_id", F.sha2(normalized(F.col("text")), 256).alias("h")))
 
 
-def duplicates_of(gold: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(ord, doc_id): for (ord, doc_id), all documents of the same text, itself included."""
-    classes = same_text(corpus)
-    wanted = gold.join(classes, "doc_id").select("ord", "text_class").distinct()
-    alone = gold.select("ord", "doc_id")
-    return wanted.join(classes, "text_class").select("ord", "doc_id").unionByName(alone).distinct()
+def duplicates_of(gold: DataFrame, corpus: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(ord, doc_id): for (ord, doc_id), all documents of the same text, itself included. ``classes``: of ``same_text``, if there."""
+    classes = same_text(corpus) if classes is None else classes
+    gold = gold.select("ord", "doc_id")
+    wanted = gold.join(classes, "doc_id").select("ord", "h").distinct()
+    return wanted.join(classes, "h").select("ord", "doc_id").unionByName(gold).distinct()
 
 
 def adjacent(gold: DataFrame, corpus: DataFrame) -> DataFrame:

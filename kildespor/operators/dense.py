@@ -1,21 +1,27 @@
 """Exact ranking by cosine of vectors.
 
-At most BLOCK queries at a time are sent to the executors; each task multiplies
-its documents with all of them and keeps the first k per query, or counts how
-many documents beat the best gold one. So nothing quadratic is ever stored.
+Queries are dealt by hash to blocks of about BLOCK_VALUES numbers, which are
+broadcast one by one; each task multiplies its documents with all of a block
+and keeps the first k per query, counts how many documents beat the best gold
+one, or both. So nothing quadratic is ever stored.
 Arithmetic is in double precision. Null and all-zero vectors take no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = 4096
-_STRETCH = 8192
+from kildespor.plans.shared import written
+
+#: Numbers of query vectors that are broadcast at once, about: 64 MB.
+BLOCK_VALUES = 8_000_000
+#: Similarities that a task holds at a time, and queries they are of.
+_PAIRS, _CHUNK = 2_000_000, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,91 +53,110 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]):
+def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     held, count = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        count += batch.num_rows
-        if count >= _STRETCH:
-            yield pa.Table.from_batches(held)
-            held, count = [], 0
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            count += held[-1].num_rows
+            if count >= rows:
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _tops(shared, k: int):
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        best_s, best_d = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-        for table in _stretches(batches):
-            doc = table["doc_id"].to_numpy()
-            s = np.hstack([best_s, q @ _matrix(table["vector"]).T])
-            d = np.hstack([best_d, np.broadcast_to(doc, (len(ids), len(doc)))])
-            s9 = np.round(s, 9)
-            if s.shape[1] > 2 * k:
-                at = np.argpartition(-s9, 2 * k - 1, axis=1)[:, : 2 * k]
-                edge = np.take_along_axis(s9, at, 1).min(axis=1)
-                for i in np.flatnonzero((s9 >= edge[:, None]).sum(axis=1) > 2 * k):  # ties at the edge: those with the smaller doc_id
-                    at[i] = np.lexsort((d[i], -s9[i]))[: 2 * k]
-                s, d, s9 = (np.take_along_axis(x, at, 1) for x in (s, d, s9))
-            order = np.lexsort((d, -s9), axis=1)[:, :k]
-            best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-        if best_s.shape[1]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_d.ravel()), pa.array(best_s.ravel())], ["ord", "doc_id", "score"]
-            )
-
-    return top
-
-
-def _beaten(shared):
-    def beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, least = shared.value
-        count = np.zeros(len(ids), np.int64)
-        for table in _stretches(batches):
-            count += (np.round(q @ _matrix(table["vector"]).T, 9) > least[:, None]).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count)], ["ord", "n"])
-
-    return beaten
-
-
-def _blocks(queries: DataFrame):
-    """Lists of up to BLOCK rows of queries."""
-    held = []
-    for r in queries.toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
+_FOUND = "ord bigint, doc_id bigint, score double, beaten bigint"
+
+
+def _scanned(shared, k: int):
+    """Rows (doc_id, vector) to each query's k best, and, where a score to beat is given, the number of documents over it (doc_id null).
+
+    A task holds _PAIRS similarities at a time, of a chunk of queries and a stretch of documents.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, to_beat = shared.value
+        least, beaten = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        chunks = range(0, len(ids), _CHUNK)
+        best: list[list[tuple]] = [[] for _ in chunks]
+        for table in _tables(batches, _PAIRS // _CHUNK):
+            doc, v = table["doc_id"].to_numpy(), _matrix(table["vector"])
+            for c, a in enumerate(chunks):
+                part = slice(a, a + _CHUNK)
+                s = q[part] @ v.T
+                if to_beat is not None:
+                    beaten[part] += (np.round(s, 9) > to_beat[part, None]).sum(axis=1)
+                if not k:
+                    continue
+                if len(doc) > k:
+                    least[part] = np.maximum(least[part], np.partition(s, len(doc) - k, axis=1)[:, len(doc) - k])
+                x, y = np.nonzero(s >= least[part, None] - 1e-8)
+                best[c].append((x, doc[y], s[x, y]))
+                if len(best[c]) > 8:
+                    best[c] = [_first(best[c], k)]
+        none = lambda n: pa.nulls(n, pa.int64())
+        for a, parts in zip(chunks, best):
+            if parts:
+                x, d, s = _first(parts, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + x]), pa.array(d), pa.array(s), none(len(x))], ["ord", "doc_id", "score", "beaten"])
+        if to_beat is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids), none(len(ids)), pa.nulls(len(ids), pa.float64()), pa.array(beaten)], ["ord", "doc_id", "score", "beaten"])
+
+    return scan
+
+
+def _first(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k first of (query, document, score)."""
+    x, d, s = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((d, -np.round(s, 9), x))
+    x, d, s = x[order], d[order], s[order]
+    keep = np.arange(len(x)) - np.searchsorted(x, x) < k
+    return x[keep], d[keep], s[keep]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("ord").orderBy(F.round("score", 9).desc(), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
 class Dense:
     """docs: (doc_id, vector); queries: (ord, vector)."""
 
     def __init__(self, docs: DataFrame | None = None):
-        self.docs = None if docs is None else usable(docs, "doc_id")
+        self._given, self._written = docs, None
+
+    @property
+    def docs(self) -> DataFrame | None:
+        """(doc_id, vector) of the usable documents, with length 1, written once when first needed."""
+        if self._written is None and self._given is not None:
+            self._written = written(usable(self._given, "doc_id"))
+        return self._written
 
     def _require(self) -> DataFrame:
-        if self.docs is None:
+        if self._given is None:
             raise RuntimeError("the corpus must be encoded before searching")
         return self.docs
 
-    def search(self, queries: DataFrame, k: int = 100) -> DataFrame:
-        """(ord, doc_id, score, rank), ranks 1 to k."""
+    def _scan(self, queries: DataFrame, k: int) -> DataFrame:
+        """Rows of _FOUND for queries (ord, vector) with length 1 and, it may be, ``score``, which to beat."""
         docs, found = self._require(), None
         spark = docs.sparkSession
-        for rows in _blocks(usable(queries, "ord")):
-            shared = spark.sparkContext.broadcast((np.array([r["ord"] for r in rows], np.int64), np.array([r["vector"] for r in rows])))
-            part = docs.mapInArrow(_tops(shared, k), "ord bigint, doc_id bigint, score double")
-            found = part if found is None else found.unionByName(part)
-        if found is None:
-            found = spark.createDataFrame([], "ord bigint, doc_id bigint, score double")
-        order = Window.partitionBy("ord").orderBy(F.round("score", 9).desc(), "doc_id")
-        return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+        size = queries.agg(F.sum(F.size("vector"))).head()[0] or 0
+        blocks = math.ceil(size / BLOCK_VALUES)
+        for i in range(blocks):
+            rows = queries.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == i).toArrow()
+            if rows.num_rows:
+                to_beat = rows["score"].to_numpy() if "score" in rows.column_names else None
+                shared = spark.sparkContext.broadcast((rows["ord"].to_numpy(), _matrix(rows["vector"]), to_beat))
+                part = docs.mapInArrow(_scanned(shared, k), _FOUND)
+                found = part if found is None else found.unionByName(part)
+        return spark.createDataFrame([], _FOUND) if found is None else found
+
+    def search(self, queries: DataFrame, k: int = 100) -> DataFrame:
+        """(ord, doc_id, score, rank), ranks 1 to k."""
+        self._require()
+        return _ranked(self._scan(written(usable(queries, "ord")), k).select("ord", "doc_id", "score"), k)
 
     def gold_scores(self, queries: DataFrame, gold: DataFrame) -> DataFrame:
         """(ord, score): each query's best similarity, to 9 digits, to a gold document."""
@@ -142,20 +167,19 @@ class Dense:
     def ranks(self, queries: DataFrame, gold: DataFrame) -> DataFrame:
         """(ord, rank): 1 + the documents that are more similar than the best gold one, without a cut; ties favour gold.
 
-        Queries without a usable vector or gold vector have no row.
+        A query without a usable vector or gold vector has a null rank, which counts as a miss.
         """
-        docs, found = self._require(), None
-        spark = docs.sparkSession
-        asked = usable(queries, "ord").join(self.gold_scores(queries, gold), "ord")
-        for rows in _blocks(asked):
-            shared = spark.sparkContext.broadcast(
-                (np.array([r["ord"] for r in rows], np.int64), np.array([r["vector"] for r in rows]), np.array([r["score"] for r in rows]))
-            )
-            part = docs.mapInArrow(_beaten(shared), "ord bigint, n bigint")
-            found = part if found is None else found.unionByName(part)
-        if found is None:
-            return spark.createDataFrame([], "ord bigint, rank bigint")
-        return found.groupBy("ord").agg((F.sum("n") + 1).alias("rank"))
+        return self.ranks_and_top(queries, gold, 0)[0]
 
     def ranks_and_top(self, queries: DataFrame, gold: DataFrame, k: int = 100) -> tuple[DataFrame, DataFrame]:
-        return self.ranks(queries, gold), self.search(queries, k)
+        """(ranks, search) of one pass over the documents."""
+        self._require()
+        one = usable(queries, "ord")
+        asked = written(one.join(self.gold_scores(queries, gold), "ord", "left").withColumn("score", F.coalesce("score", F.lit(float("inf")))))
+        found = self._scan(asked, k)
+        if k:
+            found = written(found)
+        beaten = found.where("doc_id is null").groupBy("ord").agg((F.sum("beaten") + 1).alias("rank"))
+        beaten = beaten.join(asked.where(F.col("score") < float("inf")).select("ord"), "ord", "left_semi")
+        ranks = queries.select("ord").join(beaten, "ord", "left")
+        return ranks, _ranked(found.where("doc_id is not null").select("ord", "doc_id", "score"), k)

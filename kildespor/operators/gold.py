@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kildespor.functions.books import BANDS
 from kildespor.operators.corpus import spans
-from kildespor.plans.quota import place
+from kildespor.plans.rendezvous import deal
+from kildespor.plans.shared import written
+from kildespor.plans.skew import attach
 
 
 def bands_of(labels: DataFrame) -> DataFrame:
-    """(id, band, jaccard, reference): one row per id, the first by (band, jaccard, reference), nulls last."""
-    order = [F.col(c).asc_nulls_last() for c in ("jaccard_group", "jaccard", "reference")]
+    """(id, band, jaccard, citation): one row per id.
+
+    Where labels have their place in the file, ``ord``, the last one of an id
+    holds. A table without an order gives the first by (band, jaccard,
+    reference), nulls last.
+    """
+    if "ord" in labels.columns:
+        order = [F.col("ord").desc()]
+    else:
+        order = [F.col(c).asc_nulls_last() for c in ("jaccard_group", "jaccard", "reference")]
     first = F.row_number().over(Window.partitionBy("id").orderBy(*order))
     return (
         labels.where(F.col("id").isNotNull())
@@ -46,6 +54,22 @@ def sibling_gold(references: DataFrame, gold: DataFrame) -> DataFrame:
     return entry.join(of_entry, "entry").select("ord", "doc_id")
 
 
+def by_id(references: DataFrame, *ids: str) -> DataFrame:
+    """The references with one of these ids."""
+    return references.where(F.col("id").isin(*ids))
+
+
+def part(references: DataFrame, start: int, stop: int) -> DataFrame:
+    """References start to stop - 1 in the order of ord, counted from 0."""
+    first = references.select("ord").orderBy("ord").limit(stop).select("ord", F.row_number().over(Window.orderBy("ord")).alias("_n"))
+    return references.join(first.where(F.col("_n") > start).select("ord"), "ord", "left_semi")
+
+
+def queries_of(references: DataFrame) -> DataFrame:
+    """(ord, text)."""
+    return references.select("ord", "text")
+
+
 def band_counts(references: DataFrame) -> DataFrame:
     """(band, n) of the known bands, also those without references."""
     known = references.sparkSession.createDataFrame([(b,) for b in BANDS], "band string")
@@ -65,33 +89,21 @@ def hash_group_folds(references: DataFrame, n_splits: int = 5) -> DataFrame:
     return references.select("ord", F.coalesce(F.pmod(digits, F.lit(n_splits)), F.lit(0)).cast("int").alias("fold"))
 
 
-#: Groups that hold more than 1/LARGE of the references are placed one by one on the driver; there are at most LARGE.
-LARGE = 1000
-
-
 def stratified_group_folds(references: DataFrame, n_splits: int = 5, seed: int = 42) -> DataFrame:
     """(ord, fold): each reference in one test fold, a commentary entry never in two, bands spread evenly.
 
-    Large entries go, largest first, to the fold where their bands are least
-    filled; small ones to folds by a seeded hash, so no group is collected.
+    An entry's stratum is the band with most of its references (of equal ones
+    the last by name); entries are dealt to folds of equal shares within their
+    stratum, see ``plans.rendezvous``. Another seed gives other folds.
     References without an annotation_id are each a group of their own.
     """
     entry = F.coalesce("annotation_id", F.concat(F.lit("\u0001"), F.col("ord").cast("string")))
-    rows = references.select("ord", entry.alias("entry"), F.coalesce("band", F.lit("")).alias("band"))
-    total = rows.count()
-    sizes = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > total / LARGE).select("entry")
-    counts = rows.join(F.broadcast(large), "entry").groupBy("entry", "band").agg(F.count(F.lit(1)).alias("n")).collect()
-    by: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counts:
-        by[r["entry"]][r["band"]] = r["n"]
-    filled = [defaultdict(int) for _ in range(n_splits)]
-    placed = []
-    for e, bands in sorted(by.items(), key=lambda x: (-sum(x[1].values()), x[0])):
-        best = min(range(n_splits), key=lambda f: (sum((filled[f][b] + n) ** 2 - filled[f][b] ** 2 for b, n in bands.items()), sum(filled[f].values()), f))
-        for b, n in bands.items():
-            filled[best][b] += n
-        placed.append((e, best))
-    fixed = references.sparkSession.createDataFrame(placed, "entry string, fold int")
-    by_hash = F.pmod(place(F.lit(seed), F.col("entry")), F.lit(n_splits)).cast("int")
-    return rows.join(F.broadcast(fixed), "entry", "left").select("ord", F.coalesce("fold", by_hash).alias("fold"))
+    rows = written(references.select("ord", entry.alias("entry"), F.coalesce("band", F.lit("")).alias("band")))
+    per = rows.groupBy("entry", "band").agg(F.count(F.lit(1)).alias("n"))
+    entries = per.groupBy("entry").agg(F.sum("n").alias("size"), F.max(F.struct("n", "band")).alias("m"))
+    entries = written(entries.select(F.col("entry").alias("unit"), F.col("m.band").alias("stratum"), "size"))
+    width = len(str(n_splits - 1))
+    dealt = deal(entries, {f"{f:0{width}d}": 1 / n_splits for f in range(n_splits)}, seed)
+    folds = entries.select(F.col("unit").alias("entry"), "size").join(dealt.withColumnRenamed("unit", "entry"), "entry")
+    folds = written(folds.select("entry", "size", F.col("name").cast("int").alias("fold")))
+    return attach(rows.select("ord", "entry"), folds, ["entry"], "size").select("ord", "fold")

@@ -1,12 +1,12 @@
 """Exact TF-IDF and BM25 ranking.
 
 Statistics of the collection (document frequencies, lengths, norms) are
-DataFrame aggregations over all documents. Scoring goes block by block: at
-most BLOCK queries, with their terms' weights, are sent to the executors at a
-time, and each task scores its documents against all of them with an inverted
-index of its own and keeps the first k of each query. So no (query, document)
-pair is shuffled but the k best of each task, and neither a common term nor a
-long document makes a large task.
+DataFrame aggregations over all documents. Scoring goes block by block: queries
+are dealt by hash to blocks of about BLOCK_TERMS (query, term) weights, each
+block is broadcast, and each task scores its documents against all of its
+queries with an inverted index of its own and keeps the first k of each query. So no
+(query, document) pair is shuffled but the k best of each task, and neither a
+common term nor a long document makes a large task.
 
 Order is by score rounded to 9 digits, descending, then doc_id. A document
 matches when it has a term of the query, whatever the score's sign. Null
@@ -15,9 +15,9 @@ texts have no terms but count as documents, as empty ones do.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kildespor.plans.shared import written
 
-#: Queries scored in one pass over the documents.
-BLOCK = 4096
-#: Documents a task scores at a time.
-_STRETCH = 20_000
+#: Weights (query, term) that are broadcast at once, about; one query's are never parted.
+BLOCK_TERMS = 400_000
+#: Documents and queries whose scores a task holds at a time, as one matrix.
+_STRETCH, _CHUNK = 8192, 256
+#: A term in more than this share of a stretch's documents is multiplied as a full row.
+_DENSE = 1 / 16
 
 
 class Retriever(Protocol):
@@ -51,72 +53,126 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _scorer(weights, k: int, document_weight: Callable):
-    """weights: broadcast (query ids, terms, {term slot: (query slots, weights)})."""
+class _Block(NamedTuple):
+    """Queries of a block and the weights of their terms, sorted by query."""
+
+    ids: np.ndarray
+    terms: np.ndarray
+    ends: np.ndarray  # of each query's weights, from 0
+    term: np.ndarray
+    weight: np.ndarray
+
+
+def _block(rows: pa.Table) -> _Block:
+    """rows: (ord, term, weight)."""
+    ids, query = np.unique(rows["ord"].to_numpy(), return_inverse=True)
+    names = rows["term"].combine_chunks().dictionary_encode()
+    names = pa.concat_arrays(names.chunks) if isinstance(names, pa.ChunkedArray) else names
+    term, weight = names.indices.to_numpy(), rows["weight"].to_numpy()
+    order = np.lexsort((term, query))
+    ends = np.r_[0, np.cumsum(np.bincount(query, minlength=len(ids)))]
+    return _Block(ids, names.dictionary.to_numpy(zero_copy_only=False), ends, term[order].astype(np.int64), weight[order])
+
+
+class _Postings:
+    """The terms of a stretch of documents that a block's queries have."""
+
+    def __init__(self, table: pa.Table, names: pa.Array, document_weight: Callable):
+        self.docs = table["doc_id"].to_numpy()
+        tokens = table["tokens"].combine_chunks()
+        if isinstance(tokens, pa.ChunkedArray):
+            tokens = pa.concat_arrays(tokens.chunks)
+        slot = pc.index_in(pc.list_flatten(tokens), names)
+        known = slot.is_valid().to_numpy(zero_copy_only=False)
+        row = pc.list_parent_indices(tokens).to_numpy()[known].astype(np.int64)
+        n = len(self.docs)
+        code, tf = np.unique(slot.drop_null().to_numpy().astype(np.int64) * n + row, return_counts=True)
+        self.row = code % n
+        self.value = document_weight(tf.astype(np.float64), table["side"].to_numpy(zero_copy_only=False)[self.row])
+        self.start = np.searchsorted(code // n, np.arange(len(names) + 1))
+        self.count = np.diff(self.start)
+
+    def scores(self, block: _Block, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, whether there is a common term) of queries first to last - 1, by documents."""
+        at = slice(block.ends[first], block.ends[last])
+        term, weight = block.term[at], block.weight[at]
+        query = np.repeat(np.arange(last - first), np.diff(block.ends[first : last + 1]))
+        n = len(self.docs)
+        common = self.count[term] > _DENSE * n
+        kinds, kind = np.unique(term[common], return_inverse=True)
+        w, v = np.zeros((last - first, len(kinds))), np.zeros((len(kinds), n))
+        w[query[common], kind] = weight[common]
+        for i, t in enumerate(kinds):
+            own = slice(self.start[t], self.start[t + 1])
+            v[i, self.row[own]] = self.value[own]
+        out = w @ v
+        positive = bool((weight > 0).all())
+        seen = out > 0 if positive else (w != 0).astype(np.float32) @ (v != 0).astype(np.float32) > 0
+        rare = ~common & (self.count[term] > 0)
+        for q, t, x in zip(query[rare].tolist(), term[rare].tolist(), weight[rare].tolist()):
+            own = slice(self.start[t], self.start[t + 1])
+            out[q, self.row[own]] += x * self.value[own]
+            if not positive:
+                seen[q, self.row[own]] = True
+        return out, out > 0 if positive else seen
+
+
+def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held, count = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            count += held[-1].num_rows
+            if count >= rows:
+                yield pa.Table.from_batches(held)
+                held, count = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_SCORED = ["ord", "doc_id", "score"]
+
+
+def _scorer(shared, k: int | None, document_weight: Callable):
+    """Rows (doc_id, tokens, side) to each query's k best, or with k None to all documents' scores."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms, plan = weights.value
-        names = pa.array(terms, pa.string())
-        best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ids]
-
-        def stretch(columns: list[pa.RecordBatch]) -> None:
-            table = pa.Table.from_batches(columns)
-            doc = table["doc_id"].to_numpy()
-            side = table["side"].to_numpy(zero_copy_only=False)
-            tokens = table["tokens"].combine_chunks()
-            if isinstance(tokens, pa.ChunkedArray):
-                tokens = pa.concat_arrays(tokens.chunks)
-            slot = pc.index_in(pc.list_flatten(tokens), names)
-            known = slot.is_valid().to_numpy(zero_copy_only=False)
-            row = pc.list_parent_indices(tokens).to_numpy()[known].astype(np.int64)
-            term = slot.drop_null().to_numpy().astype(np.int64)
-            if not len(term):
-                return
-            code, tf = np.unique(term * len(doc) + row, return_counts=True)
-            term, row = code // len(doc), code % len(doc)
-            value = document_weight(tf.astype(np.float64), side[row])
-            starts = np.searchsorted(term, np.arange(len(terms) + 1))
-            by_query: dict[int, list[tuple[int, float]]] = defaultdict(list)
-            for t in np.unique(term):
-                for q, w in plan[t]:
-                    by_query[q].append((t, w))
-            for q, uses in by_query.items():
-                score, seen = np.zeros(len(doc)), np.zeros(len(doc), bool)
-                for t, w in uses:
-                    at = slice(starts[t], starts[t + 1])
-                    score[row[at]] += w * value[at]
-                    seen[row[at]] = True
-                hit = np.flatnonzero(seen)
-                s, d = score[hit], doc[hit]
-                if len(s) > 4 * k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = s >= least - 1e-8
-                    s, d = s[keep], d[keep]
-                best[q].append((s, d))
-                if len(best[q]) > 8:
-                    best[q] = [_first(best[q], k)]
-
-        held, count = [], 0
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count >= _STRETCH:
-                stretch(held)
-                held, count = [], 0
-        if held:
-            stretch(held)
-        for q, parts in enumerate(best):
+        block: _Block = shared.value
+        names = pa.array(block.terms, pa.string())
+        chunks = [(a, min(a + _CHUNK, len(block.ids))) for a in range(0, len(block.ids), _CHUNK)]
+        best: list[list[tuple]] = [[] for _ in chunks]
+        least = np.full(len(block.ids), -np.inf)
+        for table in _tables(batches, _STRETCH):
+            found = _Postings(table, names, document_weight)
+            n = len(found.docs)
+            for c, (a, b) in enumerate(chunks):
+                s, seen = found.scores(block, a, b)
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids[a:b], n)), pa.array(np.tile(found.docs, b - a)), pa.array(s.ravel())], _SCORED)
+                    continue
+                s[~seen] = -np.inf
+                if n > k:
+                    least[a:b] = np.maximum(least[a:b], np.partition(s, n - k, axis=1)[:, n - k])
+                x, y = np.nonzero(seen & (s >= least[a:b, None] - 1e-8))
+                best[c].append((x, found.docs[y], s[x, y]))
+                if len(best[c]) > 8:
+                    best[c] = [_first(best[c], k)]
+        for (a, _), parts in zip(chunks, best):
             if parts:
-                s, d = _first(parts, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ids[q])), pa.array(d), pa.array(s)], ["ord", "doc_id", "score"])
+                x, d, s = _first(parts, k)
+                yield pa.RecordBatch.from_arrays([pa.array(block.ids[a + x]), pa.array(d), pa.array(s)], _SCORED)
 
     return score
 
 
-def _first(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    s, d = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((d, -np.round(s, 9)))[:k]
-    return s[order], d[order]
+def _first(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k first of (query, document, score)."""
+    x, d, s = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((d, -np.round(s, 9), x))
+    x, d, s = x[order], d[order], s[order]
+    place = np.arange(len(x)) - np.searchsorted(x, x)
+    keep = place < k
+    return x[keep], d[keep], s[keep]
 
 
 class _Lexical:
@@ -150,27 +206,26 @@ class _Lexical:
     def _document_weight(self) -> Callable:
         raise NotImplementedError
 
-    def search(self, queries: DataFrame, k: int = 100, pad_zeros: bool = False) -> DataFrame:
-        """(ord, doc_id, score, rank), ranks 1 to k; with pad_zeros documents without a match fill up, with score 0."""
+    def _scored(self, queries: DataFrame, k: int | None) -> DataFrame:
+        """(ord, doc_id, score) of each task's k best per query, block by block of queries."""
         spark = self._given.sparkSession
         terms = queries.select("ord", F.explode("tokens").alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
         weights = written(self._query_weights(terms))
-        ids = sorted(r["ord"] for r in weights.select("ord").distinct().toLocalIterator())
-        found = None
-        for at in range(0, len(ids), BLOCK):
-            block = ids[at : at + BLOCK]
-            rows = weights.where((F.col("ord") >= block[0]) & (F.col("ord") <= block[-1])).toPandas()
-            slot = {q: i for i, q in enumerate(block)}
-            names = sorted(rows["term"].unique())
-            place = {t: i for i, t in enumerate(names)}
-            plan: list[list[tuple[int, float]]] = [[] for _ in names]
-            for q, t, w in sorted(rows[["ord", "term", "weight"]].itertuples(index=False)):
-                plan[place[t]].append((slot[q], w))
-            shared = spark.sparkContext.broadcast((np.array(block, np.int64), names, plan))
-            scored = self._sides().mapInArrow(_scorer(shared, k, self._document_weight()), "ord bigint, doc_id bigint, score double")
-            found = scored if found is None else found.unionByName(scored)
-        if found is None:
-            found = spark.createDataFrame([], "ord bigint, doc_id bigint, score double")
+        if k is None:  # queries without a known term have scores too
+            rest = queries.select("ord").distinct().join(weights.select("ord").distinct(), "ord", "left_anti")
+            weights = written(weights.unionByName(rest.select("ord", F.lit("").alias("term"), F.lit(0.0).alias("weight"))))
+        blocks, found = math.ceil(weights.count() / BLOCK_TERMS), None
+        for i in range(blocks):
+            rows = weights.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == i).select(F.col("ord").cast("bigint").alias("ord"), "term", "weight").toArrow()
+            if rows.num_rows:
+                shared = spark.sparkContext.broadcast(_block(rows))
+                part = self._sides().mapInArrow(_scorer(shared, k, self._document_weight()), "ord bigint, doc_id bigint, score double")
+                found = part if found is None else found.unionByName(part)
+        return spark.createDataFrame([], "ord bigint, doc_id bigint, score double") if found is None else found
+
+    def search(self, queries: DataFrame, k: int = 100, pad_zeros: bool = False) -> DataFrame:
+        """(ord, doc_id, score, rank), ranks 1 to k; with pad_zeros documents without a match fill up, with score 0."""
+        found = self._scored(queries, k)
         if pad_zeros:
             found = written(found)
             # of the k first documents a query that needs more matches fewer than it lacks places
@@ -185,19 +240,12 @@ class _Lexical:
         """Ranks start + 1 to stop."""
         return self.search(queries, stop).where(F.col("rank") > start)
 
-    def scores(self, query: list[str]) -> DataFrame:
-        """(doc_id, score) of every document for one query; 0 without a match."""
-        spark = self._given.sparkSession
-        terms = spark.createDataFrame([(0, t) for t in query], "ord bigint, term string").groupBy("ord", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
-        weights = {r["term"]: r["weight"] for r in self._query_weights(terms).collect()}
-        total = F.lit(0.0)
-        for t, w in sorted(weights.items()):
-            tf = F.size(F.filter("tokens", (lambda w: lambda x: x == w)(F.lit(t)))).cast("double")
-            total = total + F.when(tf > 0, F.lit(w) * self._column_weight(tf, F.col("side"))).otherwise(0.0)
-        return self._sides().select("doc_id", total.alias("score"))
-
-    def _column_weight(self, tf: Column, side: Column) -> Column:
-        raise NotImplementedError
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """(ord, doc_id, score) of every document for every query (ord, tokens); 0 without a match.
+
+        As many rows as queries times documents: for a few queries, or for sinks that take that.
+        """
+        return self._scored(queries, None)
 
 
 class BM25(_Lexical):
@@ -242,9 +290,6 @@ class BM25(_Lexical):
         k1 = self.k1
         return lambda tf, side: tf * (k1 + 1.0) / (tf + side)
 
-    def _column_weight(self, tf: Column, side: Column) -> Column:
-        return tf * F.lit(self.k1 + 1.0) / (tf + side)
-
 
 class Tfidf(_Lexical):
     """Cosine of (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) vectors; query terms that no document has are left out."""
@@ -278,9 +323,6 @@ class Tfidf(_Lexical):
     def _document_weight(self) -> Callable:
         return lambda tf, side: (1.0 + np.log(tf)) / side
 
-    def _column_weight(self, tf: Column, side: Column) -> Column:
-        return (F.lit(1.0) + F.log(tf)) / side
-
 
 def distinct_terms(queries: DataFrame) -> DataFrame:
     """Queries without repeated terms."""

@@ -1,16 +1,23 @@
-"""Best–worst scaling: the pool of candidate pairs, the tuples to be judged, and what judges get."""
+"""Best–worst scaling: the pool of candidate pairs, the tuples to be judged, and what judges get.
+
+Tuples are laid out as a timetable: with T tuples to fill, the places of all
+pairs are listed bin by bin and given out in turn, place i to tuple i mod T. A
+bin has at most MAX_PER_BIN * T places in the list, so no tuple gets more of it
+than it may, whatever the order; T is the largest number for which bins,
+annotations and pairs have enough places under their caps. Only where a tuple
+gets too many of one annotation are places exchanged with others of the same bin.
+"""
 
 from __future__ import annotations
 
 import math
-import random
-from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kildespor.functions.text import jaccard, pair_id
+from kildespor.functions.text import jaccard, pair_id, tuple_id
 from kildespor.operators.corpus import adjacent, duplicates_of, labels
 from kildespor.plans.shared import written
 
@@ -28,7 +35,8 @@ def pool(refs: DataFrame, gold: DataFrame, corpus: DataFrame, books: DataFrame,
     top_k are taken before documents with a gold text and neighbours of gold ones
     are left out, so fewer may remain. refs: (ord, id, text, band).
     """
-    excluded = duplicates_of(gold, corpus).unionByName(adjacent(gold, corpus)).distinct()
+    lexical, tuned = written(lexical.select("ord", "doc_id", "rank")), written(tuned.select("ord", "doc_id", "rank"))
+    excluded = written(duplicates_of(gold, corpus).unionByName(adjacent(gold, corpus)).distinct())
 
     def top(ranking: DataFrame, name: str) -> DataFrame:
         return ranking.where(F.col("rank") <= top_k).join(excluded, ["ord", "doc_id"], "left_anti").select("ord", "doc_id", F.lit(True).alias(name))
@@ -60,56 +68,101 @@ def bin_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _most_tuples(counts: list[np.ndarray], caps: list[int], size: int) -> int:
+    """The largest number of tuples for which each kind of counts, capped at its cap per tuple, has places enough."""
+    low, high = 0, min(int(c.sum()) for c in counts) // size
+    while low < high:
+        t = (low + high + 1) // 2
+        if all(int(np.minimum(c, cap * t).sum()) >= size * t for c, cap in zip(counts, caps)):
+            low = t
+        else:
+            high = t - 1
+    return low
+
+
+def _listed(bins: np.ndarray, notes: np.ndarray, places: np.ndarray, t: int, size: int, rng: np.random.Generator) -> np.ndarray:
+    """size * t places, each as the number of its pair, bin by bin; a pair's copies and an annotation's pairs stand together."""
+    take = np.minimum(places, t)
+    for kinds, cap in ((notes, MAX_PER_ANNOTATION * t), (bins, MAX_PER_BIN * t), (np.zeros(len(bins), np.int64), size * t)):
+        order = rng.permutation(len(take))  # what is over a cap goes from pairs in seeded order
+        order = order[np.argsort(kinds[order], kind="stable")]
+        upto = np.cumsum(take[order])
+        start = np.searchsorted(kinds[order], kinds[order])
+        before = (upto - take[order]) - (upto - take[order])[start]
+        take[order] = np.clip(cap - before, 0, take[order])
+    turn = rng.permutation(notes.max() + 1)
+    order = np.lexsort((rng.permutation(len(take)), turn[notes], bins))
+    return np.repeat(order, take[order])
+
+
+def _exchanged(at: np.ndarray, bins: np.ndarray, notes: np.ndarray, t: int, rng: np.random.Generator) -> np.ndarray:
+    """The list with places exchanged within a bin where a tuple has too many of an annotation or a pair twice.
+
+    Place i is in tuple i mod t. Returns the number of each place's pair.
+    """
+    at = at.copy()
+    members = [np.arange(i, len(at), t).tolist() for i in range(t)]
+    partners = {b: rng.permutation(np.flatnonzero(bins[at] == b)) for b in np.unique(bins[at])}
+    next_partner = dict.fromkeys(partners, 0)
+
+    def fits(i: int, pair: int) -> bool:
+        """Whether the pair can stand at place i."""
+        others = [at[j] for j in members[i % t] if j != i]
+        return pair not in others and sum(notes[p] == notes[pair] for p in others) < MAX_PER_ANNOTATION
+
+    tuple_of, note = np.arange(len(at)) % t, notes[at]
+    for keys in (tuple_of * (notes.max() + 1) + note, tuple_of * (at.max() + 1) + at):
+        _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+        for i in np.flatnonzero(count[inverse] > 1).tolist():
+            if fits(i, at[i]):
+                continue
+            of_bin = partners[bins[at[i]]]
+            for _ in range(len(of_bin)):
+                j = of_bin[next_partner[bins[at[i]]] % len(of_bin)]
+                next_partner[bins[at[i]]] += 1
+                if j % t != i % t and fits(i, at[j]) and fits(j, at[i]):
+                    at[i], at[j] = at[j], at[i]
+                    break
+    return at
+
+
+def _laid_out(bins: np.ndarray, notes: np.ndarray, places: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Tuples by position, as numbers of pairs, for pairs with a bin, an annotation and a number of places."""
+    rng = np.random.default_rng(seed)
+    t = _most_tuples([np.bincount(bins, places).astype(np.int64), np.bincount(notes, places).astype(np.int64), places], [MAX_PER_BIN, MAX_PER_ANNOTATION, 1], size)
+    while t:
+        at = _listed(bins, notes, places, t, size, rng)
+        if len(at) == size * t:
+            break
+        t = len(at) // size  # caps of several kinds together leave less than each alone
+    if not t:
+        return np.zeros((0, size), np.int64)
+    at = _exchanged(at, bins, notes, t, rng).reshape(size, t).T
+    per_note, per_pair = np.sort(notes[at], axis=1), np.sort(at, axis=1)
+    good = (per_pair[:, 1:] != per_pair[:, :-1]).all(axis=1) if size > 1 else np.ones(t, bool)
+    if size > MAX_PER_ANNOTATION:
+        good &= (per_note[:, MAX_PER_ANNOTATION:] != per_note[:, :-MAX_PER_ANNOTATION]).all(axis=1)
+    return rng.permuted(at[good], axis=1)
+
+
 def draw_tuples(pairs: list[tuple[str, str, str]], reps: int = REPS, size: int = TUPLE_SIZE, seed: int = DEFAULT_SEED) -> tuple[list[list[str]], int]:
-    """(tuples, places left over) of (pair_id, annotation_id, bin).
+    """(tuples, places left over) of (pair_id, annotation_id, bin), each pair to be used ``reps`` times.
 
-    Each pair is to be used ``reps`` times. A tuple is filled from the bin with most
-    places left, at most MAX_PER_BIN of a bin and MAX_PER_ANNOTATION of an
-    annotation, no pair twice; the first that can't be filled ends the drawing.
+    At most MAX_PER_BIN of a bin and MAX_PER_ANNOTATION of an annotation in a tuple, no pair twice.
     """
     drawn, left = _drawn([(*pair, reps) for pair in pairs], size, seed)
     return drawn, sum(left.values())
 
 
-def _drawn(pairs: list[tuple[str, str, str, int]], size: int, seed: int) -> tuple[list[list[str]], Counter]:
+def _drawn(pairs: list[tuple[str, str, str, int]], size: int, seed: int) -> tuple[list[list[str]], dict[str, int]]:
     """(tuples, places left of each pair) of (pair_id, annotation_id, bin, places)."""
-    rng = random.Random(seed)
-    about = {p: (a, b) for p, a, b, _ in pairs}
-    waiting: dict[str, list[str]] = {}
-    for p, _, b, places in pairs:
-        waiting.setdefault(b, []).extend([p] * places)
-    for places in waiting.values():
-        rng.shuffle(places)
-        places.reverse()  # the first is taken, which is fast at the end
-    tuples = []
-    while sum(map(len, waiting.values())) >= size:
-        drawn: list[tuple[str, str]] = []  # bin, pair
-        notes, bins = Counter(), Counter()
-        while len(drawn) < size:
-            found = None
-            for b in sorted(waiting, key=lambda b: -len(waiting[b])):
-                if bins[b] >= MAX_PER_BIN:
-                    continue
-                taken = {p for _, p in drawn}
-                places = waiting[b]
-                found = next(((b, i) for i in range(len(places) - 1, -1, -1) if places[i] not in taken and notes[about[places[i]][0]] < MAX_PER_ANNOTATION), None)
-                if found:
-                    break
-            if not found:
-                break
-            b, i = found
-            p = waiting[b].pop(i)
-            drawn.append((b, p))
-            notes[about[p][0]] += 1
-            bins[b] += 1
-        if len(drawn) < size:
-            for b, p in drawn:
-                waiting[b].append(p)
-            break
-        names = [p for _, p in drawn]
-        rng.shuffle(names)
-        tuples.append(names)
-    return tuples, Counter(p for places in waiting.values() for p in places)
+    if not pairs:
+        return [], {}
+    names, notes, bins, places = zip(*pairs)
+    number = lambda values: np.unique([("", "") if v is None else ("x", v) for v in values], axis=0, return_inverse=True)[1].ravel()
+    found = _laid_out(number(bins), number(notes), np.array(places, np.int64), size, seed)
+    used = np.bincount(found.ravel(), minlength=len(names))
+    return [[names[i] for i in row] for row in found.tolist()], {n: int(p - u) for n, p, u in zip(names, places, used)}
 
 
 _ROW = ["pair_id", "annotation_id", "bin", "reference"]
@@ -145,6 +198,12 @@ def _usable(left: DataFrame, reps: int, seed: int, turn: int) -> tuple[DataFrame
     return left.where(~largest).unionByName(some), others + min(reps * others, counts[0]["count"])
 
 
+def left_over(pairs: DataFrame, drawn: DataFrame, reps: int = REPS) -> DataFrame:
+    """(n): the places of a pool's pairs that no tuple has."""
+    wanted = pairs.where("pair_id is not null").agg((F.count_distinct("pair_id") * reps).alias("n"))
+    return wanted.unionByName(drawn.agg((-F.count(F.lit(1))).alias("n"))).agg(F.sum("n").alias("n"))
+
+
 def tuples(pairs: DataFrame, reps: int = REPS, size: int = TUPLE_SIZE, seed: int = DEFAULT_SEED) -> DataFrame:
     """(tuple_id, position, pair_id). The pool is read in the order of its file: bin, annotation_id, reference.
 
@@ -166,7 +225,7 @@ def tuples(pairs: DataFrame, reps: int = REPS, size: int = TUPLE_SIZE, seed: int
             drawn += r["n"]
         offset = F.broadcast(spark.createDataFrame(offsets, "block int, before int"))
         done.append(
-            out.where("number > 0").join(offset, "block").select(F.format_string("T%04d", F.col("number") + F.col("before")).alias("tuple_id"), "position", "pair_id")
+            out.where("number > 0").join(offset, "block").select(tuple_id(F.col("number") + F.col("before")).alias("tuple_id"), "position", "pair_id")
         )
         if blocks == 1 or not drawn:
             return reduce(DataFrame.unionByName, done)

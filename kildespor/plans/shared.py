@@ -10,11 +10,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _used: dict[str, tuple[SparkSession, str]] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,23 +36,48 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once and stored as Parquet in the shared folder."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, outer: int = 0) -> str:
+    """A new path in the shared folder, deleted at the end of the ``outer``-next scope it is made in, or of the process."""
     base = f"{shared_dir(spark)}/kildespor-{spark.sparkContext.applicationId}"
-    path = f"{base}/{uuid.uuid4().hex}"
     if not _used:
         atexit.register(_clean)
     _used[base] = (spark, base)
+    path = f"{base}/{uuid.uuid4().hex}"
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append(path)
+    return path
+
+
+def written(df: DataFrame, outer: int = 0) -> DataFrame:
+    """df, computed once and stored as Parquet in the shared folder."""
+    spark = df.sparkSession
+    path = fresh(spark, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within are deleted at its end, so a long session keeps only what is still used.
+
+    What it gives writes a table that outlives it.
+    """
+    _scopes.append([])
+    try:
+        yield lambda df: written(df, outer=1)
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clean() -> None:
     for spark, base in _used.values():
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(base)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, base)
         except Exception:  # the session may have ended before
             pass

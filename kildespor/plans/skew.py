@@ -4,48 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: At most so many keys are treated as heavy, so the table of them that is
-#: broadcast has a fixed bound. Any other key holds under a thousandth of the rows.
+#: At most so many keys, with their rows of the smaller table, are broadcast.
 HEAVY_KEYS = 1000
 
 
-def heavy_keys(table: DataFrame, keys: list[str], weight: str, least: int) -> DataFrame:
-    """The up to HEAVY_KEYS keys with the most rows, of those with over ``least``."""
-    return (
-        table.where(F.col(weight) > least)
-        .orderBy(F.col(weight).desc(), *keys)
-        .limit(HEAVY_KEYS)
-        .select(*keys)
-    )
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", least: int = 20_000) -> DataFrame:
+    """Join rows with a table that has one row per key and the key's row count, ``weight``.
 
-
-def attach(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    weight: str,
-    how: str = "inner",
-    salts: int = 24,
-    least: int = 20_000,
-) -> DataFrame:
-    """Join rows with a table that has one row per key and the key's row count.
-
-    Rows of a heavy key are spread over ``salts`` shuffle partitions by a hash
-    of the whole row; the key's one table row is repeated for each of them. The
-    hash makes a recomputed task give the same rows. ``table`` is read twice
-    and should be a written one.
+    The up to HEAVY_KEYS keys with the most rows, of those with over ``least``,
+    are joined where the rows are: their rows of ``table`` are broadcast and
+    rows of theirs are never shuffled. Only the others are; any such key holds
+    under a thousandth of the rows, or at most ``least``. Key and payload must be
+    short (numbers, hashes, words). how: inner, left or left_semi. Both inputs are
+    read twice where there is a heavy key, so they should be written ones.
     """
-    heavy = F.broadcast(heavy_keys(table, keys, weight, least).withColumn("_heavy", F.lit(True)))
-    salted = rows.join(heavy, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_heavy"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
-    )
-    spread = table.join(heavy, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    if how == "left_semi":
-        spread = spread.select(*keys, "_salt")
-    else:
-        spread = spread.drop("_heavy")
-    return salted.drop("_heavy").join(spread, [*keys, "_salt"], how).drop("_salt")
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(how)
+    spark = rows.sparkSession
+    hot = table.where(F.col(weight) > least).orderBy(F.col(weight).desc(), *keys).limit(HEAVY_KEYS).select(*keys).collect()
+    if not hot:
+        return rows.join(table, keys, how)
+    heavy = F.broadcast(spark.createDataFrame(hot, table.select(*keys).schema))
+    near = rows.join(F.broadcast(table.join(heavy, keys, "left_semi")), keys, "left_semi" if how == "left_semi" else "inner")
+    far = rows.join(heavy, keys, "left_anti").join(table.join(heavy, keys, "left_anti"), keys, how)
+    return near.unionByName(far)

@@ -28,7 +28,17 @@ def test_commands(spark, tmp_path, capsys):
     cli.main(["--root", str(tmp_path), "rank-dense", "--ablate-ortho"])
     assert "hashing__noortho" in capsys.readouterr().out
     cli.main(["--root", str(tmp_path), "build-study", "--reps", "2"])
-    assert list((tmp_path / "artifacts/bws/bws_tuples_key.csv").glob("*.csv"))
+    assert list((tmp_path / "artifacts/bws/bws_tuples_key.csv").glob("*.csv")) and "places left over" in capsys.readouterr().out
+
+
+def test_tuning_from_the_command_line(spark, tmp_path, capsys):
+    study(tmp_path)
+    cli.main(["--root", str(tmp_path), "tune", "--model", "hashing", "--folds", "2", "--seeds", "2", "--epochs", "1", "--lr", "0.5", "--pretrain", "simcse"])
+    assert "pretrain=simcse | 2-fold | soup x2" in capsys.readouterr().out
+    text = next((tmp_path / "artifacts/results.json").glob("*.txt")).read_text(encoding="utf-8")
+    document = json.loads(text)
+    assert document["config"]["fit"]["rate"] == 0.5 and document["n_references"] == 3 and set(document["out_of_fold_ranks"]) == {"r0", "r2", "r5"}
+    assert list((tmp_path / "artifacts/cv_checkpoint/metrics").glob("*.json")) and list((tmp_path / "artifacts/domain_pretrained").glob("*.parquet"))
 
 
 def test_a_stream_of_queries(spark, tmp_path):

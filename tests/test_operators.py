@@ -1,16 +1,23 @@
+import json
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from kildespor.operators import corpus as C, gold as G, metrics as M, study as S, tuning
 from kildespor.operators.dense import Dense
 from kildespor.operators.encode import EncodedRetriever, HashingEncoder
 from kildespor.operators.lexical import BM25, Tfidf
 from kildespor.operators.negatives import mine
+from kildespor.operators.trainers import DimensionTrainer
+from kildespor.plans import rendezvous, skew
+from kildespor.sources import files
 
 VERSES = "doc_id bigint, book string, chapter int, verse int, text string"
 REFS = "ord bigint, id string, annotation_id string, text string, book string, chapter int, verse int, verse_end int"
@@ -49,6 +56,9 @@ def test_gold_set(spark, corpus, refs, rows):
     labels = spark.createDataFrame([("r0", "quote", 0.5, "x"), ("r0", "allusion", 0.1, "x"), (None, "quote", 1.0, ""), ("r2", None, None, None)], "id string, jaccard_group string, jaccard double, reference string")
     kept, gold = G.assemble(refs, corpus, labels)
     assert rows(kept, "ord", "band") == [(0, "allusion"), (1, None), (2, None)]
+    in_order = spark.createDataFrame([(0, "r0", "allusion", 0.5, "x"), (1, "r0", "quote", 0.1, "x")], "ord bigint, id string, jaccard_group string, jaccard double, reference string")
+    assert rows(G.assemble(refs, corpus, in_order)[0], "ord", "band")[0] == (0, "quote")  # the file's last one holds
+    assert rows(G.by_id(refs, "r1", "r9"), "ord") == [(1,)] and rows(G.part(refs, 1, 3), "ord") == [(1,), (2,)]
     assert rows(G.sibling_gold(kept, gold)) == [(0, 0), (0, 2), (0, 3), (1, 0), (1, 2), (1, 3), (2, 2)]
     assert rows(G.band_counts(kept)) == [("allusion", 1), ("paraphrase", 0), ("quote", 0)]
     with pytest.raises(Exception, match="no band for r1"):
@@ -65,6 +75,40 @@ def test_folds_keep_entries_together(spark):
     sizes = Counter(folds.values())
     assert max(sizes.values()) < 1.5 * min(sizes.values())
     assert folds == {r["ord"]: r["fold"] for r in G.stratified_group_folds(refs, 5).collect()}
+    other = {r["ord"]: r["fold"] for r in G.stratified_group_folds(refs, 5, seed=7).collect()}
+    assert sum(other[i] != f for i, f in folds.items()) > 100
+    for band in ("quote", "allusion"):
+        share = Counter(folds[i] for i, _, b in data if b == band)
+        assert max(share.values()) < 2 * min(share.values())
+
+
+def test_dealing_follows_rendezvous_and_shares(spark):
+    rng = random.Random(4)
+    units = [(f"u{i}", rng.choice("ab"), rng.choice([1, 1, 1, 2, 5])) for i in range(600)] + [("big", "a", 400)]
+    shares = {"train": 0.8, "test": 0.12, "validation": 0.08}
+    table = spark.createDataFrame(units, "unit string, stratum string, size bigint")
+    got = {r["unit"]: r["name"] for r in rendezvous.deal(table, shares).collect()}
+    assert len(got) == 601 and got["big"] == "train"
+    total = sum(s for _, _, s in units)
+    for n, share in shares.items():
+        assert abs(sum(s for u, _, s in units if got[u] == n) - share * total) <= 6
+    # all but those that a full place turned away are where hashing alone puts them
+    scores = F.array(*[F.struct(rendezvous.score(F.col("unit"), n, F.lit(s), 0).alias("s"), F.lit(n).alias("n")) for n, s in sorted(shares.items())])
+    wanted = {r["unit"]: r["n"] for r in table.select("unit", F.array_max(scores)["n"].alias("n")).collect()}
+    assert sum(got[u] == wanted[u] for u in wanted) > 0.85 * len(wanted)
+    with pytest.raises(ValueError):
+        rendezvous.deal(table, {"a": 0})
+    assert rendezvous.deal(table.limit(0), shares).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_heavy_keys_are_joined_where_rows_are(spark, how):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
+    table = rows.where("k is not null and k <> 'k1'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = skew.attach(rows, table, ["k"], "n", how, least=100)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    plain = rows.join(table, ["k"], how)
+    assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
 
 
 def brute_bm25(docs, query, k1=1.5, b=0.75, eps=0.25):
@@ -123,7 +167,9 @@ def test_dense_ranks_and_ties(spark, rows):
     gold = spark.createDataFrame([(7, 1), (7, 2), (9, 2), (8, 1)], "ord bigint, doc_id bigint")
     d = Dense(docs)
     assert rows(d.search(queries, 2), "ord", "doc_id", "rank") == [(7, 0, 1), (7, 1, 2), (9, 0, 1), (9, 1, 2)]
-    assert rows(d.ranks(queries, gold)) == [(7, 1), (9, 1)]  # a tie doesn't worsen the rank
+    assert rows(d.ranks(queries, gold)) == [(7, 1), (8, None), (9, 1)]  # a tie doesn't worsen the rank; a query without a vector is a miss
+    ranks, top = d.ranks_and_top(queries, gold, 2)
+    assert rows(ranks) == rows(d.ranks(queries, gold)) and rows(top) == rows(d.search(queries, 2))
     with pytest.raises(RuntimeError):
         Dense().search(queries)
 
@@ -235,7 +281,7 @@ def test_soup(spark, rows):
     assert rows(tuning.soup(df)) == [("b", [5.0]), ("w", [2.0, 3.0])]
 
 
-def test_cross_validation(spark):
+def test_cross_validation(spark, tmp_path):
     words = [f"ord{i}" for i in range(60)]
     rng = random.Random(2)
     corpus = spark.createDataFrame([(i, "a", 1, i + 1, " ".join(rng.sample(words, 8))) for i in range(40)], VERSES).cache()
@@ -243,15 +289,33 @@ def test_cross_validation(spark):
     refs = spark.createDataFrame([(i, f"r{i}", f"e{i // 2}", texts[i], ["quote", "allusion"][i % 2]) for i in range(12)], "ord bigint, id string, annotation_id string, text string, band string")
     gold = spark.createDataFrame([(i, i) for i in range(12)], "ord bigint, doc_id bigint")
     seen = []
-    config = tuning.TuningConfig("hashing", folds=2, n_seeds=2, dense_pool=10)
-    out = tuning.cross_validate(
-        corpus, refs, gold, config, make=lambda state: HashingEncoder, train=lambda examples, base, seed: seen.append(examples.count()) or seed, mix=lambda states: sum(states), after_fold=lambda f, r: None
-    )
-    assert len(seen) == 4 and all(seen)
+    config = tuning.Tuning("hashing", mining=tuning.Mining(dense=10), fit=tuning.Fit(rate=0.01), folds=2, souped=2)
+    trainer = DimensionTrainer(spark)
+    fitted = trainer.fitted
+    trainer.fitted = lambda state, examples, fit, seed: seen.append((examples.count(), fit.rate, seed)) or fitted(state, examples, fit, seed)
+    after = []
+    out = tuning.cross_validate(corpus, refs, gold, config, trainer, after_fold=lambda f, table, r: after.append((f, r.count())))
+    assert [s for _, _, s in seen] == [42, 43, 42, 43] and all(n and rate == 0.01 for n, rate, _ in seen)
+    assert [f for f, _ in after] == [0, 1] and sum(n for _, n in after) == 12
     ranks = {r["ord"]: r["rank"] for r in out["out_of_fold_ranks"].collect()}
     assert ranks == {i: 1 for i in range(12)}
     assert {r["metric"]: r["delta"] for r in out["summary"].collect()} == {m: 0.0 for m in M.METRICS}
+    assert {r["band"]: r["p_at_1"] for r in out["band_means"].collect()} == {"quote": 1.0, "allusion": 1.0, "paraphrase": None}
     assert tuning.tuned_rankings(out["out_of_fold_top"], 3).count() == 36
     assert config.describe() == "hashing | ortho=True clean_q=True | pretrain=none | 2-fold | soup x2"
-    runs = {"tsdae": lambda d: 1 / 0, "simcse": lambda d: "state"}
-    assert tuning.pretrained(corpus, tuning.TuningConfig("m", pretrain="tsdae"), runs) == ("state", "simcse")
+    path = files.write_document(spark, *tuning.results(out), str(tmp_path / "results.json"))
+    document = json.loads(Path(next(p for p in Path(path).iterdir() if p.suffix == ".txt")).read_text(encoding="utf-8"))
+    assert document["n_references"] == 12 and document["config"]["fit"]["rate"] == 0.01 and document["zero_shot_ranks"]["r3"] == 1
+    assert [f["fold"] for f in document["folds"]] == [0, 1] and sum(f["n_test"] for f in document["folds"]) == 12
+    assert len(document["out_of_fold_top"]["r3"]) == 40 and document["out_of_fold_top"]["r3"][0] == 3
+
+
+def test_pretraining_and_its_checkpoint(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "og og ord"), (2, "og"), (3, None)], "doc_id bigint, text string")
+    trainer = DimensionTrainer(spark)
+    start = trainer.start("m", tuning.Fit())
+    config = tuning.Tuning("m", pretraining=tuning.Pretraining("tsdae"))
+    state, kind = tuning.pretrained(trainer, start, docs, config, str(tmp_path / "c"))
+    assert kind == "simcse" and len(set(state.round(6))) == 3
+    assert spark.read.parquet(str(tmp_path / "c")).head()["vector"] == state.tolist()
+    assert tuning.pretrained(trainer, start, docs, tuning.Tuning("m"))[1] == "none"
