@@ -129,3 +129,17 @@ def prefixes_for(model: str) -> tuple[str, str]:
 
 def run_label(model: str, use_ortho: bool) -> str:
     return model.rstrip("/").split("/")[-1] + ("__ortho" if use_ortho else "__noortho")
+
+
+def query_prefix(model: Column) -> Column:
+    """As prefixes_for, of a column of names."""
+    return F.when(F.lower(model).contains("e5"), "query: ").otherwise("")
+
+
+def passage_prefix(model: Column) -> Column:
+    return F.when(F.lower(model).contains("e5"), "passage: ").otherwise("")
+
+
+def run_labels(model: Column, use_ortho: bool) -> Column:
+    """As run_label, of a column of names."""
+    return F.concat(F.substring_index(F.rtrim(model, F.lit("/")), "/", -1), F.lit("__ortho" if use_ortho else "__noortho"))

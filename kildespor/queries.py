@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kildespor.functions import text as T
 from kildespor.operators import corpus as C, encode as E, gold as G, metrics as M, study as S
 from kildespor.operators.dense import Dense
 from kildespor.operators.lexical import BM25, Tfidf, distinct_terms, document_frequencies, postings, rank_all
 from kildespor.operators.negatives import mine, triples
-from kildespor.operators.tuning import soup
+from kildespor.operators.trainers import Untrained
+from kildespor.operators.tuning import Mining, Tuning, cross_validate, results, soup
+from kildespor.plans.shared import fresh, written
+from kildespor.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +30,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf: str):
         self.spark, self.sf = spark, sf
+        self._assembled: tuple[DataFrame, DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf}/{name}.parquet")
@@ -44,7 +48,10 @@ class Tables:
         return C.spans(self.refs, self.corpus)
 
     def assembled(self) -> tuple[DataFrame, DataFrame]:
-        return G.assemble(self.refs, self.corpus, self.table("relation_labeling"))
+        """(references, gold), written once."""
+        if not self._assembled:
+            self._assembled = tuple(map(written, G.assemble(self.refs, self.corpus, self.table("relation_labeling"))))
+        return self._assembled
 
     def tokens(self, make, of: str) -> DataFrame:
         df = self.corpus if of == "doc_id" else self.refs
@@ -200,20 +207,15 @@ def tfidf_stem_top10(t: Tables) -> DataFrame:
     return _top(t.tfidf(stems).search(t.tokens(stems, "ord"), 10))
 
 
-def _first_words(t: Tables) -> list[str]:
-    row = t.refs.where("text is not null").orderBy("ord").select(T.raw_tokens(F.col("text")).alias("w")).head()
-    return list(row["w"]) if row else []
-
-
 @query
 def bm25_all_scores(t: Tables) -> DataFrame:
-    """Of the first reference with a text, against every document."""
-    return t.bm25(T.raw_tokens).scores(_first_words(t)).select("doc_id", F.round("score", 6).alias("score"))
+    """Of every reference against every document."""
+    return t.bm25(T.raw_tokens).scores(t.tokens(T.raw_tokens, "ord")).select("ord", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query
 def tfidf_all_scores(t: Tables) -> DataFrame:
-    return t.tfidf(T.raw_tokens).scores(_first_words(t)).select("doc_id", F.round("score", 6).alias("score"))
+    return t.tfidf(T.raw_tokens).scores(t.tokens(T.raw_tokens, "ord")).select("ord", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _lexical_ranks(t: Tables, depth: int = 100) -> DataFrame:
@@ -224,8 +226,9 @@ def _lexical_ranks(t: Tables, depth: int = 100) -> DataFrame:
 
 
 def _dense_ranks(t: Tables) -> DataFrame:
+    """(ord, band, rank) of the same references; one without a vector has no rank."""
     refs, gold = t.assembled()
-    return refs.select("ord", "annotation_id", "band").join(t.dense().ranks(t.vectors("split_annotations", "ord"), gold), "ord")
+    return refs.select("ord", "annotation_id", "band").join(t.dense().ranks(t.vectors("split_annotations", "ord"), gold), "ord", "left")
 
 
 @query
@@ -243,6 +246,13 @@ def dense_gold_rank(t: Tables) -> DataFrame:
     return _dense_ranks(t).select("ord", "rank")
 
 
+@query
+def dense_ranks_and_top(t: Tables) -> DataFrame:
+    """Rank of the best gold document beside the three most similar ones, from one pass."""
+    ranks, top = t.dense().ranks_and_top(t.vectors("split_annotations", "ord"), t.assembled()[1], 3)
+    return _top(top).join(ranks.withColumnRenamed("rank", "gold_rank"), "ord")
+
+
 @query
 def metrics_overall(t: Tables) -> DataFrame:
     return _rounded(M.metrics(_lexical_ranks(t)))
@@ -260,8 +270,7 @@ def metrics_by_band(t: Tables) -> DataFrame:
     return _rounded(M.by_band(_lexical_ranks(t)).drop("place"))
 
 
-@query
-def comparison_table(t: Tables) -> DataFrame:
+def _comparison(t: Tables) -> DataFrame:
     runs = {"bm25_raw": _lexical_ranks(t), "dense": _dense_ranks(t)}
     both = None
     for run, ranks in runs.items():
@@ -270,6 +279,18 @@ def comparison_table(t: Tables) -> DataFrame:
     return _rounded(M.comparison_table(both))
 
 
+@query
+def comparison_table(t: Tables) -> DataFrame:
+    return _comparison(t)
+
+
+@query
+def comparison_order(t: Tables) -> DataFrame:
+    """The runs as they are reported: best R@10 first, then by name. One row a run."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("r_at_10").desc(), "run")
+    return _comparison(t).select("run", F.row_number().over(order).cast("bigint").alias("place"))
+
+
 def _folded(t: Tables, ranks: DataFrame) -> DataFrame:
     return M.fold_metrics(ranks.join(G.hash_group_folds(ranks, FOLDS), "ord"))
 
@@ -279,6 +300,11 @@ def fold_metrics(t: Tables) -> DataFrame:
     return _rounded(_folded(t, _lexical_ranks(t)))
 
 
+@query
+def band_fold_means(t: Tables) -> DataFrame:
+    return _rounded(M.band_means(_folded(t, _lexical_ranks(t))))
+
+
 @query
 def fold_summary(t: Tables) -> DataFrame:
     table = M.summary(_folded(t, _lexical_ranks(t)), _folded(t, _dense_ranks(t)))
@@ -305,12 +331,38 @@ def stratified_group_folds(t: Tables) -> DataFrame:
     return G.stratified_group_folds(t.assembled()[0], FOLDS)
 
 
+@query
+def fold_checks(t: Tables) -> DataFrame:
+    """Of stratified_group_folds: references, entries in more than one fold, folds."""
+    refs = t.assembled()[0]
+    rows = written(refs.select("ord", "annotation_id").join(G.stratified_group_folds(refs, FOLDS), "ord"))
+    parted = rows.where("annotation_id is not null").groupBy("annotation_id").agg(F.count_distinct("fold").alias("n")).where("n > 1")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("refs"), F.count_distinct("fold").alias("folds")).withColumn("parted_entries", F.lit(parted.count()))
+
+
+@query
+def reference_slice(t: Tables) -> DataFrame:
+    return G.part(t.refs, 5, 15).select("ord", "id")
+
+
+@query
+def references_by_id(t: Tables) -> DataFrame:
+    """Those with an id of the first three references."""
+    ids = [r["id"] for r in G.part(t.refs, 0, 3).select("id").collect()]
+    return G.by_id(t.refs, *ids).select("ord", "id")
+
+
+@query
+def reference_queries(t: Tables) -> DataFrame:
+    return G.queries_of(t.refs)
+
+
 def _negatives(t: Tables) -> DataFrame:
     refs, gold = t.assembled()
-    dense = t.dense().search(t.vectors("split_annotations", "ord"), 60)
-    band = t.bm25(stems).band(t.tokens(T.stemmed_tokens, "ord"), 3, 50)
     kept = refs.select("ord")
-    return mine(dense.join(kept, "ord", "left_semi"), band.join(kept, "ord", "left_semi"), G.sibling_gold(refs, gold), t.corpus, 16)
+    dense = t.dense().search(t.vectors("split_annotations", "ord").join(kept, "ord", "left_semi"), 60)
+    band = t.bm25(stems).band(t.tokens(T.stemmed_tokens, "ord").join(kept, "ord", "left_semi"), 3, 50)
+    return mine(dense, band, G.sibling_gold(refs, gold), t.corpus, 16)
 
 
 @query
@@ -334,10 +386,11 @@ def weight_soup(t: Tables) -> DataFrame:
 
 def _pool(t: Tables) -> DataFrame:
     refs, gold = t.assembled()
-    queries = distinct_terms(t.tokens(stems, "ord"))
-    lexical = t.bm25(stems).search(queries, 200)
-    tuned = t.dense().search(t.vectors("split_annotations", "ord"), 20)
-    return S.pool(refs, gold, t.corpus, t.table("books"), lexical, tuned, queries, t.tokens(stems, "doc_id"))
+    kept = refs.select("ord")
+    queries = written(distinct_terms(t.tokens(stems, "ord").join(kept, "ord", "left_semi")))
+    docs = BM25(t.tokens(stems, "doc_id"))
+    tuned = t.dense().search(t.vectors("split_annotations", "ord").join(kept, "ord", "left_semi"), 20)
+    return S.pool(refs, gold, t.corpus, t.table("books"), docs.search(queries, 200), tuned, queries, docs.docs)
 
 
 @query
@@ -361,12 +414,197 @@ def bws_sheet(t: Tables) -> DataFrame:
     return S.sheets(pairs, S.tuples(pairs))[0]
 
 
+@query
+def bws_key(t: Tables) -> DataFrame:
+    pairs = t.table("build_pool")
+    return S.sheets(pairs, S.tuples(pairs))[1]
+
+
+@query
+def bws_checks(t: Tables) -> DataFrame:
+    """Of bws_tuples: places used and left over, and tuples that break a rule."""
+    pairs = t.table("build_pool")
+    drawn = written(S.tuples(pairs))
+    about = pairs.where("pair_id is not null").select("pair_id", "annotation_id", "bin").dropDuplicates(["pair_id"])
+    rows = drawn.join(about, "pair_id")
+
+    def broken(*by: str, most: int) -> int:
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).count()
+
+    left = S.left_over(pairs, drawn).head()[0]
+    counts = {
+        "over_bin": broken("tuple_id", "bin", most=S.MAX_PER_BIN), "over_annotation": broken("tuple_id", "annotation_id", most=S.MAX_PER_ANNOTATION),
+        "repeated": broken("tuple_id", "pair_id", most=1), "over_reps": broken("pair_id", most=S.REPS),
+    }
+    unfilled = drawn.groupBy("tuple_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != S.TUPLE_SIZE).count()
+    return drawn.agg((F.count(F.lit(1)) + F.lit(left)).alias("places"), *[F.lit(n).cast("bigint").alias(c) for c, n in counts.items()], F.lit(unfilled).cast("bigint").alias("unfilled"))
+
+
 @query
 def hash_encode(t: Tables) -> DataFrame:
     r = E.EncodedRetriever("hashing", E.HashingEncoder)
     return r.encode_corpus(t.corpus.select("doc_id", "text"))
 
 
+# --- files, written to the shared folder and read back -------------------
+
+
+@query
+def corpus_size(t: Tables) -> DataFrame:
+    return t.corpus.agg(F.count(F.lit(1)).alias("n"))
+
+
+def _corpus_file(t: Tables) -> DataFrame:
+    rows = t.corpus.select("doc_id", "book", "chapter", "verse", F.coalesce("text", F.lit("")).alias("text"))
+    return files.read_corpus(t.spark, files.write_array(rows, fresh(t.spark), "doc_id"))
+
+
+@query
+def file_corpus(t: Tables) -> DataFrame:
+    return _corpus_file(t)
+
+
+@query
+def file_annotations(t: Tables) -> DataFrame:
+    return files.read_annotations(t.spark, files.write_array(t.table("split_annotations"), fresh(t.spark), "ord"))
+
+
+@query
+def file_bands(t: Tables) -> DataFrame:
+    """Without the places in the file, as the table has no order."""
+    rows = t.table("relation_labeling").withColumn("at", F.coalesce("id", F.lit("")))
+    return files.read_bands(t.spark, files.write_array(rows, fresh(t.spark), "at")).drop("ord")
+
+
+def _token_file(t: Tables) -> tuple[DataFrame, DataFrame]:
+    docs = t.tokens(T.raw_tokens, "doc_id").join(t.tokens(stems, "doc_id").withColumnRenamed("tokens", "stem"), "doc_id")
+    asked = t.refs.groupBy("id").agg(F.max_by("text", "ord").alias("text")).select("id", F.coalesce(T.raw_tokens(F.col("text")), F.array().cast("array<string>")).alias("lemma"))
+    path = files.write_tokens(docs.withColumnRenamed("tokens", "lemma"), asked.withColumn("stem", F.col("lemma")), fresh(t.spark))
+    return files.read_tokens(t.spark, path)
+
+
+@query
+def file_tokens(t: Tables) -> DataFrame:
+    return _token_file(t)[0].select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def file_query_tokens(t: Tables) -> DataFrame:
+    return _token_file(t)[1].select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def token_alignment(t: Tables) -> DataFrame:
+    docs, corpus = _token_file(t)[0], _corpus_file(t)
+    files.check_alignment(docs, corpus)
+    return docs.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def file_rankings(t: Tables) -> DataFrame:
+    """The most similar documents of each reference, as a rankings file."""
+    top = t.dense().search(t.vectors("split_annotations", "ord"), 5).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("t"))
+    rows = top.select("ord", F.col("ord").cast("string").alias("id"), F.transform("t", lambda x: x["doc_id"]).alias("ft_oof_top20"))
+    return files.read_rankings(t.spark, files.write_array(rows, fresh(t.spark), "ord"))
+
+
+_POOL_FILE = ", ".join(f"{c} string" for c in "pair_id annotation_id reference category bin jaccard blixen_text bible_text bm25_lemstem_rank dfm_ft_rank".split())
+
+
+@query
+def pool_file(t: Tables) -> DataFrame:
+    pairs = t.table("build_pool").drop("loaded_at")
+    return files.read_csv(t.spark, files.write_pool(pairs, fresh(t.spark)), _POOL_FILE)
+
+
+@query
+def study_files(t: Tables) -> DataFrame:
+    """Of the sheets as written: their rows that don't agree with each other or with the pool."""
+    pairs = written(t.table("build_pool").drop("loaded_at").dropDuplicates(["pair_id"]))
+    drawn = written(S.tuples(pairs))
+    paths = files.write_study(*S.sheets(pairs, drawn), fresh(t.spark))
+    kinds = ("tuple_id position pair_id reference blixen_text bible_text BEST WORST", "tuple_id position pair_id annotation_id reference category bin jaccard bm25_lemstem_rank dfm_ft_rank")
+    judges, key = (files.read_csv(t.spark, p, ", ".join(f"{c} string" for c in k.split())) for p, k in zip(paths, kinds))
+    place = ["tuple_id", "position", "pair_id"]
+    shown = drawn.select("tuple_id", F.col("position").cast("string").alias("position"), "pair_id")
+    fields = ["pair_id", "annotation_id", "bin", "category", "bm25_lemstem_rank"]
+    other = key.select(*fields).distinct().exceptAll(pairs.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields]).distinct())
+    return judges.agg(F.count_if(F.col("BEST").isNotNull() | F.col("WORST").isNotNull()).alias("marked")).select(
+        "marked", F.lit(judges.select(place).exceptAll(shown).count()).alias("only_judges"), F.lit(shown.exceptAll(key.select(place)).count()).alias("not_in_key"), F.lit(other.count()).alias("unlike_pool")
+    )
+
+
+@query
+def three_digits(t: Tables) -> DataFrame:
+    return t.table("relation_labeling").select("id", T.three_digits(F.col("jaccard")).alias("jaccard"))
+
+
+@query
+def tuple_ids(t: Tables) -> DataFrame:
+    return t.refs.select("ord", T.tuple_id(F.col("ord")).alias("tuple_id"))
+
+
+@query
+def model_names(t: Tables) -> DataFrame:
+    """Prefixes and labels of made-up models' names."""
+    name = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("lab/"), "p_brand", F.lit("-E5/"))).otherwise(F.col("p_brand"))
+    rows = t.table("part").select("p_partkey", name.alias("m"))
+    m = F.col("m")
+    return rows.select("p_partkey", T.query_prefix(m).alias("query_prefix"), T.passage_prefix(m).alias("passage_prefix"), T.run_labels(m, True).alias("label"), T.run_labels(m, False).alias("plain_label"))
+
+
+def _letters(t: Tables, clean: bool = False) -> E.EncodedRetriever:
+    return E.EncodedRetriever("letters-e5", E.LetterEncoder, True, clean, cache_dir=fresh(t.spark))
+
+
+def _long(vectors: DataFrame, name: str) -> DataFrame:
+    return vectors.select(name, F.posexplode("vector").alias("pos", "x")).select(name, "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query
+def embedding_cache(t: Tables) -> DataFrame:
+    """Vectors of the corpus as a second run finds them in the cache."""
+    r = _letters(t)
+    r.encode_corpus(t.corpus)
+    r.make = None  # nothing is encoded again
+    return _long(r.encode_corpus(t.corpus), "doc_id")
+
+
+@query
+def encoded_queries(t: Tables) -> DataFrame:
+    return _long(_letters(t, True).encode_queries(t.refs), "ord")
+
+
+@query
+def encoded_top10(t: Tables) -> DataFrame:
+    r = _letters(t, True)
+    r.encode_corpus(t.corpus)
+    return _top(r.search(t.refs, 10))
+
+
+def _validated(t: Tables) -> dict:
+    refs, gold = t.assembled()
+    config = Tuning("letters-e5", mining=Mining(dense=10), folds=FOLDS, souped=1)
+    return cross_validate(t.corpus, refs, gold, config, Untrained(E.LetterEncoder, t.spark))
+
+
+@query
+def cross_validated_ranks(t: Tables) -> DataFrame:
+    """Out-of-fold ranks of an encoder that no fold changes: its own ranks."""
+    return _validated(t)["out_of_fold_ranks"].select("ord", "rank")
+
+
+@query
+def results_document(t: Tables) -> DataFrame:
+    """Ranks by reference as the written document has them."""
+    path = files.write_document(t.spark, *results(_validated(t)), fresh(t.spark))
+    text = t.spark.read.text(path, wholetext=True)
+    kinds = "n_references bigint, folds array<struct<fold:int,n_test:bigint>>, zero_shot_ranks map<string,bigint>"
+    found = text.select(F.from_json("value", kinds, {"mode": "FAILFAST"}).alias("d"))
+    total = F.aggregate("d.folds", F.lit(0).cast("bigint"), lambda s, f: s + f["n_test"])
+    return found.select(F.col("d.n_references").alias("n_references"), total.alias("n_test"), F.explode("d.zero_shot_ranks").alias("id", "rank")).distinct()
+
+
 # --- SQL ---------------------------------------------------------------
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -461,7 +699,8 @@ sims AS (SELECT a.row_id AS ord, b.row_id AS doc_id, list_dot_product(a.v, b.v)
 dense AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sims)"""
 _DENSE_RANKS = """
 best AS (SELECT s.ord, max(round(s.score, 9)) AS m FROM sims s JOIN gold g ON s.ord = g.ord AND s.doc_id = g.doc_id GROUP BY s.ord),
-dense_ranks AS (SELECT b.ord, 1 + CAST(count_if(round(s.score, 9) > m) AS BIGINT) AS rank FROM best b JOIN sims s ON b.ord = s.ord GROUP BY b.ord)"""
+dense_found AS (SELECT b.ord, 1 + CAST(count_if(round(s.score, 9) > m) AS BIGINT) AS rank FROM best b JOIN sims s ON b.ord = s.ord GROUP BY b.ord),
+dense_ranks AS (SELECT r.ord, r.annotation_id, r.band, f.rank FROM refs r LEFT JOIN dense_found f ON r.ord = f.ord)"""
 _LEXICAL_RANKS = """
 lexical_ranks AS (SELECT r.ord, r.annotation_id, r.band, min(k.rank) AS rank FROM refs r LEFT JOIN gold g ON g.ord = r.ord
   LEFT JOIN (SELECT * FROM ranked WHERE rank <= 100) k ON k.ord = r.ord AND k.doc_id = g.doc_id GROUP BY ALL)"""
@@ -503,6 +742,26 @@ pool AS (SELECT DISTINCT r.id || '__' || c.book || c.chapter || '.' || c.verse A
   LEFT JOIN a ON a.ord = j.ord AND a.doc_id = j.doc_id LEFT JOIN b ON b.ord = j.ord AND b.doc_id = j.doc_id
   LEFT JOIN ranked k ON k.ord = j.ord AND k.doc_id = j.doc_id AND k.rank <= 200 LEFT JOIN dense t ON t.ord = j.ord AND t.doc_id = j.doc_id AND t.rank <= 20)"""
 
+_LETTERS = E.LetterEncoder.letters
+_POOL_TEXTS = "pair_id annotation_id reference category bin blixen_text bible_text bm25_lemstem_rank dfm_ft_rank".split()
+
+
+def _letter_units(name: str, of: str, table: str, prefix: str) -> str:
+    """(name, v): letter counts with length 1, in single precision."""
+    counts = ", ".join(f"length(x) - length(replace(x, '{c}', ''))" for c in _LETTERS)
+    return f"""(SELECT {name}, [CAST(CASE WHEN n > 0 THEN c / n ELSE 0 END AS FLOAT) for c in counts] AS v FROM (
+  SELECT {name}, counts, sqrt(list_sum([CAST(c * c AS DOUBLE) for c in counts])) AS n FROM (
+  SELECT {name}, [{counts}] AS counts FROM (SELECT {name}, '{prefix}' || {of} AS x FROM {table}))))"""
+
+
+_LETTER_DOCS = _letter_units("doc_id", _ortho("text"), "(SELECT verse_index AS doc_id, text FROM verses)", "passage: ")
+_LETTER_QUERIES = _letter_units("ord", _ortho(_clean("quote_from_work")), "split_annotations", "query: ")
+_DOUBLES = "list_transform(v, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(v, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))))"
+_LETTER_SIMS = f"""
+lq AS (SELECT ord, {_DOUBLES} AS v FROM {_LETTER_QUERIES}), ld AS (SELECT doc_id, {_DOUBLES} AS v FROM {_LETTER_DOCS}),
+sims AS (SELECT ord, doc_id, list_dot_product(lq.v, ld.v) AS score FROM lq, ld)"""
+_LETTER_RANKS = f"WITH {_REFS}, {_LETTER_SIMS}, {_DENSE_RANKS}"
+
 ORACLES: dict[str, str] = {
     "tokenize_raw": f"SELECT verse_index AS doc_id, array_to_string({_raw('text')}, ' ') AS tokens FROM verses",
     "tokenize_stem": f"SELECT verse_index AS doc_id, array_to_string({_stemmed('text')}, ' ') AS tokens FROM verses",
@@ -528,11 +787,12 @@ ORACLES: dict[str, str] = {
     "bm25_band": f"WITH {_bm25_sql(_STEMS, _stemmed('quote_from_work'))} {_SHOW} BETWEEN 4 AND 50",
     "tfidf_raw_top10": f"WITH {_tfidf_sql(_raw('text'), _raw('quote_from_work'))} {_SHOW} <= 10",
     "tfidf_stem_top10": f"WITH {_tfidf_sql(_STEMS, _QUERY_STEMS)} {_SHOW} <= 10",
-    "bm25_all_scores": f"WITH {_BM25_RAW} SELECT d.doc_id, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN (SELECT * FROM scored WHERE ord = (SELECT min(ord) FROM split_annotations WHERE quote_from_work IS NOT NULL)) s ON s.doc_id = d.doc_id",
-    "tfidf_all_scores": f"WITH {_tfidf_sql(_raw('text'), _raw('quote_from_work'))} SELECT d.doc_id, round(coalesce(score, 0), 6) AS score FROM d LEFT JOIN (SELECT * FROM scored WHERE ord = (SELECT min(ord) FROM split_annotations WHERE quote_from_work IS NOT NULL)) s ON s.doc_id = d.doc_id",
+    "bm25_all_scores": f"WITH {_BM25_RAW} SELECT q.ord, d.doc_id, round(coalesce(score, 0), 6) AS score FROM q CROSS JOIN d LEFT JOIN scored s ON s.ord = q.ord AND s.doc_id = d.doc_id",
+    "tfidf_all_scores": f"WITH {_tfidf_sql(_raw('text'), _raw('quote_from_work'))} SELECT q.ord, d.doc_id, round(coalesce(score, 0), 6) AS score FROM q CROSS JOIN d LEFT JOIN scored s ON s.ord = q.ord AND s.doc_id = d.doc_id",
     "first_gold_rank_depth": f"{_RUN} SELECT ord, rank FROM lexical_ranks",
     "dense_top10": f"WITH {_VECTORS} SELECT ord, doc_id, rank, round(score, 6) AS score FROM dense WHERE rank <= 10",
-    "dense_gold_rank": f"WITH {_CORPUS}, {_VECTORS}, {_DENSE_RANKS} SELECT * FROM dense_ranks",
+    "dense_gold_rank": f"WITH {_REFS}, {_VECTORS}, {_DENSE_RANKS} SELECT ord, rank FROM dense_ranks",
+    "dense_ranks_and_top": f"WITH {_REFS}, {_VECTORS}, {_DENSE_RANKS} SELECT d.ord, d.doc_id, d.rank, round(d.score, 6) AS score, f.rank AS gold_rank FROM dense d LEFT JOIN dense_found f ON d.ord = f.ord WHERE d.rank <= 3",
     "metrics_overall": f"{_RUN} SELECT {_MEANS}, count(*) AS n FROM lexical_ranks",
     "metrics_multi_gold": f"""{_RUN}, sizes AS (SELECT ord, count(DISTINCT doc_id) AS n_gold FROM gold GROUP BY ord),
 ideal AS (SELECT ord, (SELECT sum(1 / log2(i + 1.0::DOUBLE)) FROM range(1, 11) t(i) WHERE i <= n_gold) AS ideal FROM sizes),
@@ -548,7 +808,7 @@ SELECT fold, 'overall' AS label, count(*) AS n, {_MEANS} FROM f GROUP BY fold
 UNION ALL SELECT x.fold, label, count(f.ord), {', '.join(f'round(avg(CASE WHEN f.ord IS NOT NULL THEN {g} END), 6)' for g in _GAINS.values())}
 FROM (SELECT DISTINCT fold FROM f) x CROSS JOIN {_KNOWN} LEFT JOIN f ON f.fold = x.fold AND f.band = label GROUP BY x.fold, label""",
     "fold_summary": f"""{_BOTH}, x AS (SELECT {_FOLD} AS fold, {_PLAIN_MEANS} FROM lexical_ranks GROUP BY fold),
-y AS (SELECT {_FOLD.replace('annotation_id', 'r.annotation_id')} AS fold, {', '.join(f'avg({g.replace("rank", "d.rank")}) AS {m}' for m, g in _GAINS.items())} FROM dense_ranks d JOIN refs r USING (ord) GROUP BY fold)
+y AS (SELECT {_FOLD} AS fold, {_PLAIN_MEANS} FROM dense_ranks GROUP BY fold)
 {' UNION ALL '.join(f"SELECT '{m}' AS metric, round(avg(x.{m}), 6) AS before, round(avg(y.{m}), 6) AS after, round(stddev_pop(y.{m}), 6) AS after_std, round(avg(y.{m}) - avg(x.{m}), 6) AS delta FROM x FULL JOIN y ON x.fold = y.fold" for m in M.METRICS)}""",
     "band_counts": f"WITH {_REFS} SELECT label AS band, count(ord) AS n FROM {_KNOWN} LEFT JOIN refs ON band = label GROUP BY label",
     "band_indices": f"WITH {_REFS} SELECT band, ord, row_number() OVER (PARTITION BY band ORDER BY ord) - 1 AS position FROM refs WHERE band IN ('quote', 'paraphrase', 'allusion')",
@@ -560,4 +820,30 @@ FROM negatives n JOIN positives p ON p.ord = n.ord JOIN refs r ON r.ord = n.ord
     "weight_soup": "SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings, range(1, 65) t(i) GROUP BY label, i",
     "bws_pool": f"{_POOL} SELECT * FROM pool",
     "bws_bin_counts": f"{_POOL} SELECT bin, count(*) AS n FROM pool GROUP BY bin",
+    "comparison_order": f"{_BOTH}, c AS (SELECT 'bm25_raw' AS run, {_MEANS} FROM lexical_ranks UNION ALL SELECT 'dense', {_MEANS} FROM dense_ranks) SELECT run, row_number() OVER (ORDER BY r_at_10 DESC, run) AS place FROM c",
+    "band_fold_means": f"""{_RUN}, f AS (SELECT {_FOLD} AS fold, band, {_PLAIN_MEANS} FROM lexical_ranks GROUP BY fold, band)
+SELECT label AS band, {', '.join(f'round(avg({m}), 6) AS {m}' for m in M.METRICS)} FROM {_KNOWN} LEFT JOIN f ON band = label GROUP BY label""",
+    "fold_checks": f"WITH {_REFS} SELECT count(*) AS n, count(*) AS refs, CAST(5 AS BIGINT) AS folds, CAST(0 AS BIGINT) AS parted_entries FROM refs",
+    "reference_slice": "SELECT ord, id FROM split_annotations ORDER BY ord LIMIT 10 OFFSET 5",
+    "references_by_id": "SELECT ord, id FROM split_annotations WHERE id IN (SELECT id FROM split_annotations ORDER BY ord LIMIT 3)",
+    "reference_queries": "SELECT ord, quote_from_work AS text FROM split_annotations",
+    "bws_checks": "SELECT CAST(4 * count(DISTINCT pair_id) AS BIGINT) AS places, CAST(0 AS BIGINT) AS over_bin, CAST(0 AS BIGINT) AS over_annotation, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS over_reps, CAST(0 AS BIGINT) AS unfilled FROM build_pool",
+    "corpus_size": "SELECT count(*) AS n FROM verses",
+    "file_corpus": "SELECT row_number() OVER (ORDER BY verse_index) - 1 AS doc_id, book, chapter, verse, coalesce(text, '') AS text FROM verses",
+    "file_annotations": "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, * EXCLUDE (ord) FROM split_annotations",
+    "file_bands": "SELECT id, jaccard_group, jaccard, reference FROM relation_labeling",
+    "file_tokens": f"SELECT row_number() OVER (ORDER BY verse_index) - 1 AS doc_id, coalesce(array_to_string({_STEMS}, ' '), '') AS tokens FROM verses",
+    "file_query_tokens": f"SELECT id, coalesce(array_to_string({_raw('t')}, ' '), '') AS tokens FROM (SELECT id, arg_max(quote_from_work, ord) AS t FROM split_annotations GROUP BY id)",
+    "token_alignment": "SELECT count(*) AS n FROM verses",
+    "file_rankings": f"WITH {_VECTORS} SELECT CAST(ord AS VARCHAR) AS id, doc_id, rank FROM dense WHERE rank <= 5",
+    "pool_file": f"SELECT {', '.join(f'nullif(CAST({c} AS VARCHAR), repeat(chr(32), 0)) AS {c}' for c in _POOL_TEXTS)}, printf('%.3f', jaccard) AS jaccard FROM build_pool",
+    "study_files": "SELECT CAST(0 AS BIGINT) AS marked, CAST(0 AS INTEGER) AS only_judges, CAST(0 AS INTEGER) AS not_in_key, CAST(0 AS INTEGER) AS unlike_pool",
+    "three_digits": "SELECT id, printf('%.3f', jaccard) AS jaccard FROM relation_labeling",
+    "tuple_ids": "SELECT ord, printf('T%04d', ord) AS tuple_id FROM split_annotations",
+    "model_names": "SELECT p_partkey, if(p_size % 2 = 0, 'query: ', '') AS query_prefix, if(p_size % 2 = 0, 'passage: ', '') AS passage_prefix, p_brand || if(p_size % 2 = 0, '-E5', '') || '__ortho' AS label, p_brand || if(p_size % 2 = 0, '-E5', '') || '__noortho' AS plain_label FROM part",
+    "embedding_cache": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, round(CAST(v[i] AS DOUBLE), 6) AS x FROM {_LETTER_DOCS}, range(1, {len(_LETTERS) + 1}) t(i)",
+    "encoded_queries": f"SELECT ord, CAST(i - 1 AS INTEGER) AS pos, round(CAST(v[i] AS DOUBLE), 6) AS x FROM {_LETTER_QUERIES}, range(1, {len(_LETTERS) + 1}) t(i)",
+    "encoded_top10": f"WITH {_LETTER_SIMS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sims) {_SHOW} <= 10",
+    "cross_validated_ranks": f"{_LETTER_RANKS} SELECT ord, rank FROM dense_ranks",
+    "results_document": f"{_LETTER_RANKS} SELECT DISTINCT (SELECT count(*) FROM refs) AS n_references, (SELECT count(*) FROM refs) AS n_test, r.id, d.rank FROM dense_ranks d JOIN refs r USING (ord)",
 }
