@@ -5,30 +5,27 @@ kept as rows (node, member), never as arrays: in each round every node sends
 its members to the smallest of them and that smallest to its members, so a
 component of any size is only rows, and minima are combined before the shuffle.
 Components then choose a split by weighted rendezvous hashing within their
-band, at most up to the split's quota of records; those that a full split
-turns away choose again among the others. Components that hold over
-1/LARGE of a band's records (so at most LARGE a band) are placed first, largest
-first, where most is still to fill.
+band, one rule at every size (``plans.rendezvous``): larger ones are let in
+first, up to a split's quota of records, and those that a full split turns away
+choose again among the others.
 
 Links are stars: a reference, its annotation_id as stored, and the entry that
 the annotation_id names. Defined cases: a null annotation_id links nothing, so
 its reference is a component of its own; a reference with a null id is
 known by its ord; references delivered twice are one reference; a missing or
 repeated label gives the smallest band, none gives 'none'; unknown bands count as
-bands of their own; empty tables give no rows.
+bands of their own, those beyond the 256 most frequent as one; a split without a
+name or a positive share gets nothing; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from kildespor.plans.quota import cuts, place
+from kildespor.plans.rendezvous import PLACES, deal
 from kildespor.plans.shared import written
 from kildespor.plans.skew import attach
 
-LARGE = 500
 _ROUNDS = 40
 
 
@@ -95,65 +92,6 @@ def same_entry(references: DataFrame) -> DataFrame:
     )
 
 
-def _score(node: Column, split: str, weight: Column, turn: int) -> Column:
-    """Weighted rendezvous hashing: the split with the highest score gets the node."""
-    u = (place(node, split, str(turn)) + F.lit(1)) / F.lit(float(2**48 + 2))
-    return F.when(weight > 0, weight / -F.log(u)).otherwise(F.lit(-1.0))
-
-
-def assign(sized: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(component, split) for components (component, band, size), with each band's sizes near the shares.
-
-    ``band`` is the component's stratum. Ties of a share or a size go by name.
-    """
-    spark: SparkSession = sized.sparkSession
-    names, total = sorted(shares), sum(shares.values())
-    if not names or total <= 0:
-        raise ValueError("splits need positive shares")
-    sized = written(sized)
-    sums = {r["band"]: float(r["s"]) for r in sized.groupBy("band").agg(F.sum("size").alias("s")).collect()}
-    left = {(b, n): s * shares[n] / total for b, s in sums.items() for n in names}
-    bands = spark.createDataFrame([(b, s / LARGE) for b, s in sums.items()], "band string, bound double")
-    with_bound = sized.join(F.broadcast(bands), "band")
-    large = with_bound.where("size > bound").select("component", "band", "size").collect()
-    whole: dict[str, float] = defaultdict(float)  # what a split lacks over all bands decides between equals
-    for (_, n), v in left.items():
-        whole[n] += v
-    placed = []
-    for r in sorted(large, key=lambda r: (-r["size"], r["component"])):
-        n = max(names, key=lambda n: (left[r["band"], n], whole[n], shares[n], n))
-        left[r["band"], n] -= r["size"]
-        whole[n] -= r["size"]
-        placed.append((r["component"], n))
-    done = spark.createDataFrame(placed, "component string, split string")
-    rest = with_bound.where("size <= bound").select("component", "band", "size")
-    # small ones: rendezvous hashing up to the quotas, again for those turned away
-    for turn in range(len(names) + 2):
-        last = turn == len(names) + 1
-        weights = spark.createDataFrame([(b, [max(0.0, left[b, n]) for n in names]) for b in sums], "band string, w array<double>")
-        scores = F.array(*[F.struct(_score(F.col("component"), n, F.col("w")[i], turn).alias("s"), F.lit(n).alias("n")) for i, n in enumerate(names)])
-        chosen = written(
-            rest.join(F.broadcast(weights), "band")
-            .withColumn("split", F.array_max(scores)["n"])
-            .withColumn("at", place(F.col("component"), f"order{turn}"))
-            .select("component", "band", "size", "split", "at")
-        )
-        if last:
-            done = done.unionByName(chosen.select("component", "split"))
-            break
-        cut = cuts(chosen, ["band", "split"], "size", "at", {k: max(0.0, v) for k, v in left.items()})
-        limits = spark.createDataFrame([(b, n, c) for (b, n), c in cut.items()], "band string, split string, cut bigint")
-        decided = written(chosen.join(F.broadcast(limits), ["band", "split"]))
-        taken = decided.where("at < cut")
-        for r in taken.groupBy("band", "split").agg(F.sum("size").alias("s")).collect():
-            left[r["band"], r["split"]] -= float(r["s"])
-        done = done.unionByName(taken.select("component", "split"))
-        rest = decided.where("at >= cut").select("component", "band", "size")
-        if not rest.limit(1).count():
-            break
-    return done
-
-
 def reference_splits(references: DataFrame, labels: DataFrame, targets: DataFrame) -> DataFrame:
     """(ref, band, component, split) of every reference; targets hold (split_name, share), a few rows."""
     nodes = components(reference_links(references)).where(F.col("node").startswith("r"))
@@ -169,7 +107,12 @@ def reference_splits(references: DataFrame, labels: DataFrame, targets: DataFram
     )
     # a component's stratum is the band with most of its references
     per = refs.groupBy("component", "band").agg(F.count(F.lit(1)).alias("n"))
-    sized = per.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "band")).alias("m")).select("component", F.col("m.band").alias("band"), "size")
-    shares = {r["split_name"]: float(r["share"]) for r in targets.where("split_name is not null and share > 0").limit(1000).collect()}
-    chosen = written(assign(sized, shares).join(sized.select("component", "size"), "component"))
+    sized = written(per.groupBy("component").agg(F.sum("n").alias("size"), F.max(F.struct("n", "band")).alias("m")).select("component", F.col("m.band").alias("band"), "size"))
+    asked = targets.where("split_name is not null and share > 0").select("split_name", "share").limit(PLACES + 1).collect()
+    if len(asked) > PLACES:
+        raise ValueError(f"over {PLACES} splits")
+    shares = {r["split_name"]: float(r["share"]) for r in asked}
+    units = sized.select(F.col("component").alias("unit"), F.col("band").alias("stratum"), "size")
+    chosen = deal(units, shares).select(F.col("unit").alias("component"), F.col("name").alias("split"))
+    chosen = written(chosen.join(sized.select("component", "size"), "component"))
     return attach(refs, chosen, ["component"], "size").select("ref", "band", "component", "split")
