@@ -10,7 +10,9 @@ the flow gives each pattern and source.
 Sources are compared without case and outer blanks. Documents without a target
 source take no part. A source without documents has no tokens. Null or empty
 texts have no tokens and are never short of anything. Targets are a few rows;
-a null or negative weight or repeat counts as 0.
+a null or negative weight or repeat counts as 0, and of several of one source
+the one with the greatest weight holds. More than PATTERNS targets or patterns
+are an error.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import heapq
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kildespor.plans.quota import cuts, place
 
@@ -78,7 +80,10 @@ def plain(source: Column) -> Column:
 
 
 def _targets(targets: DataFrame) -> dict[str, tuple[Fraction, int]]:
-    rows = targets.select(plain(F.col("source")).alias("s"), "weight", "max_repeats").where("s is not null").limit(PATTERNS).collect()
+    rows = targets.select(plain(F.col("source")).alias("s"), "weight", "max_repeats").where("s is not null").limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"over {PATTERNS} targets")
+    rows.sort(key=lambda r: (r["s"], r["weight"] or 0, r["max_repeats"] or 0))
     return {r["s"]: (max(Fraction(0), Fraction(str(r["weight"] or 0))), max(0, r["max_repeats"] or 0)) for r in rows}
 
 
@@ -159,10 +164,10 @@ def mixture(sized: DataFrame, targets: DataFrame, sources: Column, seed: int = 7
     )
     goals = spark.createDataFrame([(s, float(w), float(reached[s][0])) for s, (w, _) in wanted.items()], "source string, weight double, quota double")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
-    total = got.agg(F.sum("tokens").alias("all_tokens"))
+    everything = Window.partitionBy(F.lit(0))  # one row a target
     shares = (
         goals.join(got, "source", "left")
-        .join(F.broadcast(total))
+        .withColumn("all_tokens", F.sum("tokens").over(everything))
         .select("source", "weight", "quota", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("share"))
     )
     return chosen.select("doc_id", "source", "repeats"), shares
