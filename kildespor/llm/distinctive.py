@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kildespor.plans.shared import written
 from kildespor.plans.skew import attach
 
-from .term_counts import term_counts, terms
+from .term_counts import terms
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,13 +55,12 @@ def postings(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def term_weights(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, term, tf, df, dfr, tfidf) of every term of every record."""
-    texts = df.where(F.col(text).isNotNull()).select(*keys, text)
-    records, average = texts.agg(
-        F.count(F.lit(1)), F.coalesce(F.avg(F.size(terms(F.col(text)))), F.lit(0.0))
-    ).head()
-    counts = written(term_counts(texts, text).withColumnRenamed("tf", "cf"))
-    rows = attach(postings(texts, keys, text), counts, ["term"], "df")
+    """(keys, term, tf, df, dfr, tfidf) of every term of every record. Texts are split once; all counts come from the written postings."""
+    records = df.where(F.col(text).isNotNull()).count()
+    found = written(postings(df, keys, text))
+    counts = written(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    average = (counts.agg(F.sum("cf")).head()[0] or 0) / max(1, records)
+    rows = attach(found, counts.hint("shuffle_hash"), ["term"], "df")  # a partition of the vocabulary fits in memory, and postings needn't be sorted
     double: dict[str, Column] = {c: F.col(c).cast("double") for c in ("tf", "df", "cf", "dl")}
     n = F.lit(float(records))
     tfn = double["tf"] * F.log2(F.lit(1.0) + F.lit(float(average)) / double["dl"])
@@ -79,6 +78,16 @@ def best_terms(weights: DataFrame, keys: list[str], by: str, least_records: int
     )
 
 
+def record_key(tbl: Column, row_id: Column) -> Column:
+    """One number for a record of either table: shorter to shuffle and faster to sort than both columns."""
+    return F.shiftleft(row_id, 1) + F.when(tbl == "verses", 0).otherwise(1)
+
+
+def of_record(key: Column) -> list[Column]:
+    """(tbl, row_id) of a record_key."""
+    return [F.when(key.bitwiseAND(F.lit(1)) == 0, "verses").otherwise("split_annotations").alias("tbl"), F.shiftright(key, 1).alias("row_id")]
+
+
 def verse_and_reference_texts(verses: DataFrame, references: DataFrame) -> DataFrame:
     """(tbl, row_id, text) of both tables."""
     return verses.select(F.lit("verses").alias("tbl"), F.col("verse_index").alias("row_id"), "text").unionByName(

@@ -83,15 +83,16 @@ def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 def _weights(spark: SparkSession, sf: str) -> DataFrame:
     texts = distinctive.verse_and_reference_texts(_table(spark, sf, "verses"), _table(spark, sf, "split_annotations"))
-    return distinctive.term_weights(texts, ["tbl", "row_id"], "text")
+    texts = texts.select(distinctive.record_key(F.col("tbl"), F.col("row_id")).alias("key"), "text")
+    return distinctive.term_weights(texts, ["key"], "text")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return distinctive.best_terms(_weights(spark, sf), ["tbl", "row_id"], "tfidf")
+    return distinctive.best_terms(_weights(spark, sf), ["key"], "tfidf").select(*distinctive.of_record(F.col("key")), "term")
 
 
 def p7_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return _weights(spark, sf).select("tbl", "row_id", "term", "tf", "df", F.round("dfr", 6).alias("dfr"), F.round("tfidf", 6).alias("tfidf"))
+    return _weights(spark, sf).select(*distinctive.of_record(F.col("key")), "term", "tf", "df", F.round("dfr", 6).alias("dfr"), F.round("tfidf", 6).alias("tfidf"))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
