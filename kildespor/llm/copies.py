@@ -1,9 +1,10 @@
 """Records that are copies of one another but for layout, case, punctuation or field order.
 
 Method: progressive partition refinement. Rows are first grouped by cheap
-invariants of the stripped text (its length and counts of frequent letters);
-only classes with several members are split by a 64-bit hash, and only what
-is left of those by the text itself.
+invariants of the stripped text (its length and counts of frequent letters),
+one number; a class of one member is done. Only classes with several members are
+split further, by a 64-bit hash, and what is left of those by another, 128 bits
+together. The scan gives all three, so no text is ever written or shuffled.
 
 Defined cases: null texts and texts without a letter, mark or digit take no
 part; ``first_id`` is the smallest id of all copies; repeated rows with one id
@@ -13,6 +14,8 @@ other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kildespor.plans.shared import written
@@ -31,49 +34,39 @@ def _invariants(text: Column) -> Column:
     return F.xxhash64(F.length(text), *counts)
 
 
-def copy_groups(df: DataFrame, id_col: str, text: Column, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, members) of the copies among df's rows.
+_KEYS = ("key_1", "key_2", "key_3")
 
-    rows: every row with a text, as (scope, id). members: (scope, id, first_id,
-    copies) of the rows that have a copy. Rows are compared within a scope; a
-    null scope takes no part.
-    """
-    rows = written(
-        df.select(
-            (F.lit("") if scope is None else scope).alias("scope"),
-            F.col(id_col).alias("id"),
-            stripped(text).alias("key_3"),
-        )
-        .where(F.col("scope").isNotNull() & (F.col("key_3") != ""))
-        .withColumn("key_1", _invariants(F.col("key_3")))
-        .withColumn("key_2", F.xxhash64("key_3"))
-    )
-    keys, kept = ["scope"], rows
-    for level in ("key_1", "key_2", "key_3"):
+
+def _rows(df: DataFrame, id_col: str, text: Column, scope: Column | None) -> DataFrame:
+    """(scope, id, keys) of the rows with a text and a scope."""
+    rows = df.select((F.lit("") if scope is None else scope).alias("scope"), F.col(id_col).alias("id"), F.explode(F.array(stripped(text))).alias("s"))  # a generated column is computed once
+    rows = rows.where(F.col("scope").isNotNull() & (F.col("s") != ""))
+    return written(rows.select("scope", "id", _invariants(F.col("s")).alias("key_1"), F.xxhash64("s").alias("key_2"), F.xxhash64(F.lit("\u0001"), "s").alias("key_3")))
+
+
+def _refined(rows: DataFrame):
+    """For each level (keys, rows still in a class with several members, classes (keys, copies, first_id))."""
+    keys = ["scope"]
+    for level in _KEYS:
         keys = [*keys, level]
-        measures = [F.count(F.lit(1)).alias("copies")] + ([F.min("id").alias("first_id")] if level == "key_3" else [])
-        classes = written(kept.groupBy(*keys).agg(*measures).where("copies > 1"))
-        if level == "key_3":
-            members = attach(kept.select(*keys, "id"), classes, keys, "copies")
-        else:
-            kept = attach(kept, classes, keys, "copies", "left_semi")
-    return rows.select("scope", "id"), members.select("scope", "id", "first_id", "copies")
+        classes = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")))
+        yield keys, rows, classes
+        if level != _KEYS[-1]:
+            rows = written(attach(rows, classes.where("copies > 1"), keys, "copies", "left_semi"))
 
 
 def copies_found(df: DataFrame, id_col: str, text: Column, scope: Column | None = None) -> DataFrame:
-    """(scope, first_id, copy_id): one row per copy but the first."""
-    _, members = copy_groups(df, id_col, text, scope)
+    """(scope, first_id, copy_id): one row per copy but the first. Rows are compared within a scope; a null scope takes no part."""
+    keys, rows, classes = list(_refined(_rows(df, id_col, text, scope)))[-1]
+    members = attach(rows, classes.where("copies > 1"), keys, "copies")
     return members.where("id <> first_id").select("scope", "first_id", F.col("id").alias("copy_id")).distinct()
 
 
 def collapsed(df: DataFrame, id_col: str, text: Column, scope: Column | None = None) -> DataFrame:
-    """(scope, id, copies): one record per text, with the number of its copies."""
-    rows, members = copy_groups(df, id_col, text, scope)
-    members = written(members)
-    alone = rows.join(members.select("scope", "id"), ["scope", "id"], "left_anti")
-    return alone.groupBy("scope", "id").agg(F.count(F.lit(1)).alias("copies")).unionByName(
-        members.where("id = first_id").select("scope", "id", "copies").distinct()
-    )
+    """(scope, id, copies): one record per text, with the number of its copies. A class of one member leaves at its level."""
+    levels = list(_refined(_rows(df, id_col, text, scope)))
+    done = [classes.where("copies = 1") for _, _, classes in levels[:-1]] + [levels[-1][2]]
+    return reduce(DataFrame.unionByName, [d.select("scope", F.col("first_id").alias("id"), "copies") for d in done])
 
 
 #: What a line's payload must hold to be compared.
