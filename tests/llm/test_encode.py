@@ -48,14 +48,20 @@ def test_null_empty_and_repeated(spark, rows, monkeypatch):
     assert rows(encode.encoded(df.where("false"), "doc_id", "text", PATH)) == []
 
 
-def test_small_stretches_and_memory_change_nothing(spark, monkeypatch):
+def test_small_stretches_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"ord{i % 7} og {i}") for i in range(900)], "doc_id bigint, text string")
     whole = {r["id"]: r["ids"] for r in encode.encoded(df, "doc_id", "text", PATH).collect()}
     monkeypatch.setattr(encode, "STRETCH", 50)
-    monkeypatch.setattr(encode, "REMEMBERED", 5)
+    monkeypatch.setattr(encode, "REPLAYED", 5)
     assert {r["id"]: r["ids"] for r in encode.encoded(df, "doc_id", "text", PATH).collect()} == whole
 
 
+def test_another_kind_of_tokenizer_is_refused(spark):
+    df = spark.createDataFrame([(1, "hej")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="byte-level"):
+        encode.encoded(df, "doc_id", "text", f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def test_overlapping_pairs_merge_from_the_left():
     class Table:
         of_byte = list(range(256))
