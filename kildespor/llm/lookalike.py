@@ -2,16 +2,19 @@ r"""One consistent form of texts that look the same and differ in characters.
 
 Method: script-aware repair. What is invisible goes, white space becomes one
 blank, width and font variants, ligatures and decomposed accents become the
-usual characters. Then each token's dominant script is that of its letters that
-have no Latin look-alike, else Latin; only in tokens with foreign letters and
-Latin as dominant script are look-alikes replaced, and only when the result is
-in the vocabulary of the corpus: a token of another text as it is, or what
-another token becomes. A word of foreign letters alone whose every letter looks
-Latin is treated the same.
-
-Which letters look alike is taken from the Unicode confusables data in Spark's
-ICU library. Upper and lower case, accents, digits and punctuation marks stay
-apart, so a superscript or a curly quote is no other character's variant.
+usual characters. Then the dominant script of each token is determined: of the
+scripts of its letters and the text's own, the one with most letters that none of
+the others has a look-alike of, then the text's own, then the one with most
+letters. Letters of other scripts are replaced by the dominant script's
+look-alikes, whatever scripts these are, and only when the result is in the
+vocabulary of the corpus: a token of another text as it is, or what another token
+becomes. So a word that is disguised as a whole is found too. A text's script is
+that of most of its letters, or MAIN where every letter is of MAIN or looks like one.
+
+Which letters look alike is taken from the Unicode confusables data in the ICU
+library that Spark's own distribution holds. Upper and lower case, accents,
+digits and punctuation marks stay apart, so a superscript or a curly quote is no
+other character's variant. Letters without case look like those of either.
 
 Null texts have a null form, blank ones an empty one; neither has a partner.
 Texts of any length are taken whole; repeated rows count each; extra columns
@@ -20,7 +23,9 @@ are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,11 +33,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kildespor.plans.shared import written
+from kildespor.plans.skew import attach
 
 #: Texts of only these characters need nothing but their white space made even; the micro sign and U+2011 are folded to others.
 PLAIN = r"\A[\x20-\x7E\xA1-\xAC\xAE-\xB4\xB6-\xFF‐‒-―‘-‟†-•…]*\z"
-#: Latin letters outside the usual ranges that stand for one in it.
-_LATIN_VARIANTS = "ɡɑ"
+#: The script of texts whose every letter can be read as one of it.
+MAIN = "LATIN"
+#: Letters that others of their own script stand for: those of the usual ranges.
+_USUAL = {"LATIN": 0x100, "CYRILLIC": 0x460, "GREEK": 0x3D0}
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]|(?!\s)\p{Cc}")
 _PAIRS = pa.list_(pa.struct([("suspect", pa.string()), ("repaired", pa.string())]))
@@ -40,22 +48,43 @@ _PAIRS_SQL = "array<struct<suspect:string,repaired:string>>"
 _FOLDED = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 
 
-def look_alikes(spark: SparkSession) -> dict[str, str]:
-    """Letters of Greek, Cyrillic, Armenian and Cherokee, and two of Latin, that look like a Latin letter of the same case."""
-    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-
-    def letters(ranges):
-        return [chr(c) for a, b in ranges for c in range(a, b) if unicodedata.category(chr(c)) in ("Lu", "Ll")]
-
-    def shapes(of):
-        return checker.getSkeleton("\n".join(of)).split("\n")
-
-    latin = letters([(0x41, 0x5B), (0x61, 0x7B), (0xC0, 0x100)])
-    known: dict[tuple[str, bool], str] = {}
-    for c, s in zip(latin, shapes(latin)):
-        known.setdefault((s, c.isupper()), c)
-    foreign = [*letters([(0x370, 0x590), (0x13A0, 0x1400)]), *_LATIN_VARIANTS]
-    return {c: known[s, c.isupper()] for c, s in zip(foreign, shapes(foreign)) if (s, c.isupper()) in known}
+def script(c: str) -> str:
+    """The script in a letter's name."""
+    return unicodedata.name(c, "?").partition(" ")[0]
+
+
+def _letters() -> list[str]:
+    """Letters of alphabets and syllabaries, without those of width or font variants, which are folded before."""
+    many = ("CJK", "HANGUL", "MATHEMATICAL", "FULLWIDTH", "HALFWIDTH", "MODIFIER", "SUPERSCRIPT", "EGYPTIAN", "CUNEIFORM", "TANGUT", "NUSHU", "?")
+    return [c for c in map(chr, range(0x41, 0x20000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo") and script(c) not in many]
+
+
+def look_alikes(spark: SparkSession) -> dict[str, dict[str, str]]:
+    """For each script the letters that look like one of its own, of the same case, and that one."""
+    try:
+        checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except Exception as why:
+        raise RuntimeError("the ICU library (icu4j), which Spark's distribution holds, isn't on the class path") from why
+    letters = _letters()
+    shapes: dict[str, list[str]] = {}
+    for c, shape in zip(letters, checker.getSkeleton("\n".join(letters)).split("\n")):
+        shapes.setdefault(shape, []).append(c)
+    out: dict[str, dict[str, str]] = {}
+    for alike in shapes.values():
+        if len(alike) < 2:
+            continue
+        own: dict[tuple[str, str], str] = {}
+        for c in alike:  # by code point
+            s = script(c)
+            if ord(c) < _USUAL.get(s, sys.maxunicode):
+                own.setdefault((s, unicodedata.category(c)), c)
+        for (s, kind), target in own.items():
+            for c in alike:
+                if c != target and unicodedata.category(c) in (kind, "Lo"):
+                    if script(c) == s and ord(c) < _USUAL.get(s, sys.maxunicode):
+                        continue  # another usual letter of the script
+                    out.setdefault(s, {}).setdefault(c, target)
+    return out
 
 
 def _usual(c: str) -> str:
@@ -76,21 +105,56 @@ def folded(text: str) -> str:
     return " ".join(_composed("".join(c if c < "\x7f" else _usual(c) for c in text)).split())
 
 
-def _suspects(alike: dict[str, str]):
-    def foreign(c: str) -> bool:
-        return c.isalpha() and not unicodedata.name(c, "").startswith("LATIN")
-
-    table = str.maketrans(alike)
-
+def repaired(token: str, own: str, alike: dict[str, dict[str, str]]) -> str | None:
+    """The token in its dominant script, or None where nothing is to be replaced or a letter has no look-alike there. own: the text's script."""
+    letters = [c for c in token if c.isalpha()]
+    count = Counter(map(script, letters))
+    if not count:
+        return None
+    scripts = {*count, own}
+    distinct = Counter(script(c) for c in letters if not any(c in alike.get(s, ()) for s in scripts if s != script(c)))
+    target = max(scripts, key=lambda s: (distinct[s], s == own, count[s], s))
+    table = alike.get(target, {})
+    changed = []
+    for c in token:
+        if c in table:
+            c = table[c]
+        elif c.isalpha() and script(c) != target:
+            return None
+        changed.append(c)
+    out = _composed("".join(changed))
+    return out if out != token else None
+
+
+def text_script(text: str, alike: dict[str, dict[str, str]], main: str = MAIN) -> str:
+    """The script of most letters, or ``main`` where each letter is of it or looks like one of it."""
+    count = Counter(c for c in text if c.isalpha())
+    scripts: Counter = Counter()
+    for c, n in count.items():
+        scripts[script(c)] += n
+    if all(c in alike.get(main, ()) for c in count if script(c) != main):
+        return main
+    return max(scripts, key=lambda s: (scripts[s], s == main, s))
+
+
+def _suspects(alike: dict[str, dict[str, str]], main: str):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], str | None] = {}
         for batch in batches:
             forms = [folded(t) for t in batch.column("text").to_pylist()]
             tokens = []
+            if len(known) > 100_000:
+                known.clear()
             for f in forms:
                 found = {}
+                own = text_script(f, alike, main)
                 for t in _TOKEN.findall(f):
-                    if not t.isascii() and any(c in alike for c in t) and not any(foreign(c) and c not in alike for c in t):
-                        found[t] = _composed(t.translate(table))
+                    if t.isascii() and own == "LATIN":
+                        continue
+                    if (t, own) not in known:
+                        known[t, own] = repaired(t, own, alike)
+                    if known[t, own]:
+                        found[t] = known[t, own]
                 tokens.append([{"suspect": k, "repaired": v} for k, v in sorted(found.items())])
             arrays = [*[batch.column(c) for c in ("tbl", "id", "text")], pa.array(forms, pa.string()), pa.array(tokens, _PAIRS)]
             yield pa.RecordBatch.from_arrays(arrays, ["tbl", "id", "text", "form", "suspects"])
@@ -104,10 +168,11 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for form, pairs in zip(batch.column("form").to_pylist(), batch.column("repairs").to_pylist()):
             by = {p["suspect"]: p["repaired"] for p in pairs or []}
             forms.append(_TOKEN.sub(lambda m: by.get(m[0], m[0]), form))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("tbl", "id", "text")], pa.array(forms, pa.string())], ["tbl", "id", "text", "form"])
+        kept = [batch.column(c) for c in ("tbl", "id", "text")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(forms, pa.string()), batch.column("rows")], ["tbl", "id", "text", "form", "rows"])
 
 
-def consistent(texts: DataFrame) -> DataFrame:
+def consistent(texts: DataFrame, main: str = MAIN) -> DataFrame:
     """(tbl, id, text, form) of rows (tbl, id, text)."""
     spark = texts.sparkSession
     alike = look_alikes(spark)
@@ -117,38 +182,39 @@ def consistent(texts: DataFrame) -> DataFrame:
     even = rows.where("text is null").select("*", F.lit(None).cast("string").alias("form")).unionByName(
         rows.where(plain).select("*", F.trim(F.regexp_replace("text", " +", " ")).alias("form"))
     )
-    odd = rows.where(~plain).mapInArrow(_suspects(alike), f"{kinds}, suspects {_PAIRS_SQL}")
+    odd = rows.where(~plain).mapInArrow(_suspects(alike, main), f"{kinds}, suspects {_PAIRS_SQL}")
     forms = written(even.withColumn("suspects", F.array().cast(_PAIRS_SQL)).unionByName(odd))
-    suspects = written(
-        forms.where(F.size("suspects") > 0).select(F.inline("suspects")).distinct().withColumn("word", F.lower("repaired"))
-    )
+    some = forms.where(F.size("suspects") > 0)
+    pairs = written(some.select(F.inline("suspects")).groupBy("suspect", "repaired").agg(F.count(F.lit(1)).alias("n")).withColumn("word", F.lower("repaired")))
     words = forms.select(F.explode(F.regexp_extract_all(F.lower("form"), F.lit(r"([\p{L}\p{M}\p{N}]+)"), F.lit(1))).alias("word")).distinct()
-    wanted = suspects.select("word").distinct()
-    supported = (
-        suspects.groupBy("word").agg(F.countDistinct(F.lower("suspect")).alias("n")).where("n > 1").select("word")
-    )
-    vocabulary = words.join(wanted, "word", "left_semi").unionByName(supported).distinct()
-    repairs = written(suspects.join(vocabulary, "word", "left_semi").select("suspect", "repaired"))
+    supported = pairs.groupBy("word").agg(F.count_distinct(F.lower("suspect")).alias("k")).where("k > 1").select("word")
+    vocabulary = words.join(pairs.select("word").distinct(), "word", "left_semi").unionByName(supported).distinct()
+    repairs = written(pairs.join(vocabulary, "word", "left_semi").select("suspect", "repaired", "n"))
+    asked = some.select("tbl", "id", "text", "form", F.size("suspects").alias("size"), F.inline("suspects"))
     per_row = (
-        forms.where(F.size("suspects") > 0)
-        .select("tbl", "id", "text", "form", F.explode("suspects.suspect").alias("suspect"))
-        .join(repairs, "suspect", "left")
+        attach(asked, repairs, ["suspect", "repaired"], "n", "left")
         .groupBy("tbl", "id", "text", "form")
-        .agg(F.collect_set(F.when(F.col("repaired").isNotNull(), F.struct("suspect", "repaired"))).alias("repairs"))
+        .agg(
+            F.collect_set(F.when(F.col("n").isNotNull(), F.struct("suspect", "repaired"))).alias("repairs"),
+            F.count(F.lit(1)).alias("m"), F.max("size").alias("size"),
+        )
+        .select("tbl", "id", "text", "form", "repairs", (F.col("m") / F.col("size")).cast("bigint").alias("rows"))  # equal rows are one here
     )
-    mended = per_row.mapInArrow(_repaired, kinds)
-    return forms.where(F.size("suspects") == 0).select("tbl", "id", "text", "form").unionByName(mended)
+    mended = per_row.mapInArrow(_repaired, f"{kinds}, rows bigint").select("tbl", "id", "text", "form", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return forms.where(F.size("suspects") == 0).select("tbl", "id", "text", "form").unionByName(mended.select("tbl", "id", "text", "form"))
 
 
 def same_to_the_reader(forms: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b): rows of one form and of different texts, the smaller id first.
 
     Distinct texts of a form are paired before rows are, so equal texts, however
-    many, are never compared with one another. Texts are told apart by a 64-bit hash.
+    many, are never compared with one another. Texts and forms are told apart by
+    128 bits of hash, so only these are shuffled.
     """
-    rows = written(forms.where("form <> ''").select("tbl", "id", "form", F.xxhash64("text").alias("h")))
-    several = rows.groupBy("tbl", "form").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
-    kept = written(rows.join(several.select("tbl", "form"), ["tbl", "form"], "left_semi").withColumn("form", F.sha2("form", 256)))
+    two = lambda c: F.concat(F.hex(F.xxhash64(c)), F.lit(" "), F.hex(F.xxhash64(F.lit("\u0001"), c)))
+    rows = written(forms.where("form <> ''").select("tbl", "id", two("form").alias("form"), two("text").alias("h")))
+    several = rows.groupBy("tbl", "form").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
+    kept = written(attach(rows, written(several.select("tbl", "form", "n")), ["tbl", "form"], "n", "left_semi"))
     kinds = kept.select("tbl", "form", "h").distinct()
     pairs = kinds.withColumnRenamed("h", "h_a").join(kinds.withColumnRenamed("h", "h_b"), ["tbl", "form"]).where("h_a < h_b")
     left = kept.select("tbl", "form", F.col("h").alias("h_a"), F.col("id").alias("a"))

@@ -53,6 +53,25 @@ def test_foreign_words_stay_and_unknown_results_too(spark):
     assert got == {0: "λόγος", 1: "αβρον", 2: "ѕvamр", 3: "ordet", 4: None, 5: "", 6: "", 7: "ordet ordet"}
 
 
+@pytest.mark.parametrize("plain, odd", [
+    ("мое слово тут", "мое слoво тут"),  # one Latin o in a Cyrillic word
+    ("и слово", "и cлoвo"),
+    ("это сор и спор", "это cop и спор"),  # a word of Latin letters alone
+    ("λόγος και ρυθμος", "λόγoς και pυθμος"),  # Latin in Greek
+    ("Abe og kat", "ꓮbe og kat"),  # Lisu
+    ("Abe og kat", "Аbе og kat"),
+    ("ՈՒՐ լույս", "ՈՒՐ լոuյս".replace("ոu", "ու")),
+])
+def test_scripts_other_than_latin_and_look_alikes_of_any_script(spark, plain, odd):
+    got, _ = forms(spark, [plain, odd])
+    assert got == {0: plain, 1: plain}
+
+
+def test_repeated_rows_stay(spark):
+    df = spark.createDataFrame([("t", 1, "slot", ""), ("t", 2, "ѕlot og ѕlot", ""), ("t", 2, "ѕlot og ѕlot", ""), ("t", 2, "ѕlot", "")], SCHEMA)
+    assert sorted((r["id"], r["form"]) for r in lookalike.consistent(df).collect()) == [(1, "slot"), (2, "slot"), (2, "slot og slot"), (2, "slot og slot")]
+
+
 def test_two_disguises_support_one_another(spark):
     got, _ = forms(spark, ["ѕvamp", "svаmp", "svamр og"])
     assert got == {0: "svamp", 1: "svamp", 2: "svamp og"}
