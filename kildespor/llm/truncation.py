@@ -1,39 +1,46 @@
 r"""Texts that lost their end where a source cuts its fields or a transfer broke off.
 
-Method: word trigrams inside texts against those at ends, in SQL. Tokens are
-generalised before counting (a lower-case word, a capitalised one, a number,
-else the mark itself), as almost every trigram of plain words is seen once;
-words that mostly stand near ends (signatures, a closing formula) stay as they
-are. Counts are kept per source, over all its texts, but ends only of those that
-none of the other rules flags: cut ends are no norm. A text is flagged when
-
-* its final trigram is common inside the source's texts and ends texts far more
-  seldom than a token chosen by chance would (``LIFT``) and it has no full stop
-  there, or its final token is a lower-case word and such words end texts that seldom;
-* it is as long, in characters or bytes, as the longest of its source, many others are,
-  and it has no full stop;
-* its final word never stands inside any text and is the beginning of a word
-  that does, or has an ending that words don't have;
-* it ends in a word inside a bracket or quotation that is still open, or in a comma;
-* it ends in a mark put in place of the rest (an ellipsis fixed to what
+Method: word trigrams inside texts against those at ends, in SQL. A text is
+flagged when its final trigram stands inside texts but ends them far more seldom
+(``LIFT``) than a place chosen by chance would. How often a trigram ends texts is
+measured as a lift, ends over the ends expected by chance, and every measure
+leans on the next coarser one by ``LEAN`` expected ends, so what is seen often
+speaks for itself and what is seen seldom hardly does, at every size of corpus or
+source: the trigram of words (over all texts, a text's own end and equal texts
+left out), the trigram of classes in the text's source, the class of the final
+token in the source, that class in all sources. Classes are a lower-case word, a
+capitalised one, a number, else the mark itself; words that mostly stand near
+ends (signatures, a closing formula) are classes of their own.
+
+Named rules beside it catch ends that trigrams can't tell:
+
+* ``at_limit``: as long, in characters or bytes, as the longest of its source, many
+  others are, and without a full stop;
+* ``fragment``: the final word never stands inside any text and is the beginning of
+  a word that does, or has an ending that words don't have;
+* ``open``: it ends in a word inside a bracket or quotation that is still open, or in a comma;
+* ``broken``: it ends in a mark put in place of the rest (an ellipsis fixed to what
   precedes it or in brackets), in half a character reference or tag, or in the
   character that stands for broken bytes.
 
-A source with fewer than ``SMALL`` such texts, and a missing one, is judged by the
-counts of all sources. Null, empty and blank texts are no cases; white space at
-the end is ignored; repeated rows count each; an empty table gives no rows.
+Ends are counted only where none of these flags the text, and once more where the
+trigram doesn't either: cut ends are no norm.
+A missing source is a source of its own. Null, empty and blank texts are no cases;
+white space at the end is ignored; repeated rows count each; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kildespor.plans.shared import written
 from kildespor.plans.skew import attach
 
-LIFT = 0.5
-SMALL = 60
-#: A word is kept as it is when it is among the last four of so many texts, at least, and there in so large a share of its places; so there are at most 4 / NEAR_END of them.
+LIFT, LEAN = 0.5, 5.0
+#: A word is a class of its own when it is among the last four of so large a share of the texts, at least, and there in so large a share of its places; so there are at most 4 / NEAR_END of them.
 NEAR_END, NEAR_END_SHARE = 0.001, 0.3
 
 #: A source has a field limit when so many of its texts, at least, and so large a share are of its greatest length.
@@ -42,53 +49,62 @@ LEAST, CROWD = 4, 0.005
 _TOKENS = r"\\p{N}+|[\\p{L}\\p{M}]+|\\n+|\\.{3,}|[^\\s\\p{L}\\p{M}\\p{N}]"
 _WORD = r"^[\\p{L}\\p{M}]"
 
+# explode(array(x)): a generated column is computed once, however often it is used
 _TOKENISED = rf"""
-SELECT id, source, text, chars, bytes, regexp_extract_all(text, '{_TOKENS}', 0) AS tokens
-FROM (SELECT id, coalesce(nullif(lower(trim(source)), ''), '?') AS source, regexp_replace(text, '(?U)\\s+\\z', '') AS text,
-  char_length(text) AS chars, octet_length(text) AS bytes FROM @docs)
+SELECT id, source, text, chars, bytes, xxhash64(text) AS same, regexp_extract_all(text, '{_TOKENS}', 0) AS tokens
+FROM (SELECT id, coalesce(nullif(lower(trim(source)), ''), '?') AS source, char_length(text) AS chars, octet_length(text) AS bytes,
+  explode(array(regexp_replace(text, '(?U)\\s+\\z', ''))) AS text FROM @docs)
 WHERE text <> ''
 """
 
 _NEAR_END = rf"""
 WITH last AS (
   SELECT word, count(*) AS near FROM (SELECT explode(array_distinct(slice(w, greatest(1, size(w) - 3), 4))) AS word
-    FROM (SELECT filter(tokens, x -> x RLIKE '{_WORD}' AND length(x) > 1) AS w FROM @tokenised) WHERE size(w) > 0)
+    FROM (SELECT filter(slice(tokens, -least(size(tokens), 12), 12), x -> x RLIKE '{_WORD}' AND length(x) > 1) AS w FROM @tokenised) WHERE size(w) > 0)
   GROUP BY word HAVING count(*) >= greatest(3, {NEAR_END} * @n)
 ), everywhere AS (
-  SELECT word, count(*) AS n FROM (SELECT explode(tokens) AS word FROM @tokenised) GROUP BY word
+  SELECT word, count(*) AS n FROM (SELECT explode(tokens) AS word FROM @tokenised) LEFT SEMI JOIN last USING (word) GROUP BY word
 )
 SELECT word FROM last JOIN everywhere USING (word) WHERE near >= {NEAR_END_SHARE} * n
 """
 
-_COUNTS = """
-WITH places AS (
-  SELECT source, explode(transform(sequence(3, size(c)), i -> struct(concat_ws(' ', get(c, i - 3), get(c, i - 2), get(c, i - 1)) AS tri, get(c, i - 1) AS one, i = size(c) AS at_end))) AS p
-  FROM @classed
-), counted AS (
-  SELECT source, p.tri, p.one, CAST(count_if(p.at_end) AS DOUBLE) AS ends, CAST(count(*) AS DOUBLE) AS n FROM places GROUP BY source, p.tri, p.one
-)
-SELECT coalesce(source, '*') AS source, tri, one, sum(ends) AS ends, sum(n) AS n FROM counted GROUP BY GROUPING SETS ((source, tri, one), (tri, one))
+_CLASSED = r"""
+SELECT id, source, text, chars, bytes, same, tokens, concat(array('^', '^'), transform(tokens, x -> CASE
+  WHEN x IN (@near) THEN x WHEN x RLIKE '^\\p{N}' THEN '0' WHEN x RLIKE '^\\n' THEN '/' WHEN x RLIKE '^\\p{Lu}' THEN 'C' WHEN x RLIKE '^[\\p{L}\\p{M}]' THEN 'w' ELSE x END)) AS c
+FROM @tokenised
 """
 
-#: Ends count only where no other rule flags the text; where one does, its last place is one inside a text.
-_NORMS = """
-WITH whole_ends AS (
-  SELECT coalesce(source, '*') AS source, tri, final AS one, CAST(count(*) AS DOUBLE) AS ends FROM @flagged
-  WHERE NOT (broken OR open OR fragment OR at_limit) GROUP BY GROUPING SETS ((source, tri, final), (tri, final))
-)
-SELECT c.source, c.tri, c.one, coalesce(e.ends, 0) AS ends, c.n FROM @counts c LEFT JOIN whole_ends e ON c.source = e.source AND c.tri = e.tri AND c.one = e.one
+#: Trigrams of classes by source, and the class of their last token.
+_COUNTS = """
+SELECT source, p.tri, p.one, CAST(count(*) AS DOUBLE) AS n FROM (
+  SELECT source, explode(transform(sequence(3, size(c)), i -> struct(concat_ws(' ', get(c, i - 3), get(c, i - 2), get(c, i - 1)) AS tri, get(c, i - 1) AS one))) AS p FROM @classed)
+GROUP BY source, p.tri, p.one
 """
 
-_LIFTS = """
-WITH whole AS (SELECT source, sum(ends) AS texts, sum(ends) / sum(n) AS base FROM @counts GROUP BY source),
-words AS (SELECT source, sum(ends) / sum(n) AS rate FROM @counts WHERE one = 'w' GROUP BY source)
-SELECT c.source, c.tri, whole.texts, c.ends, c.n, c.ends / c.n / whole.base AS lift, words.rate / whole.base AS word_lift
-FROM @counts c JOIN whole ON c.source = whole.source LEFT JOIN words ON c.source = words.source
-WHERE c.ends > 0
+_INSIDE = rf"""
+SELECT DISTINCT explode(transform(filter(slice(tokens, 1, size(tokens) - 1), x -> x RLIKE '{_WORD}'), x -> lower(x))) AS word FROM @tokenised
 """
 
-_WHOLES = """
-SELECT source, count(*) AS texts, count_if(NOT (broken OR open OR fragment OR at_limit)) AS wholes FROM @flagged GROUP BY source
+#: A word that starts with another follows it at once in their order, so the next inside word tells whether there is one.
+_FRAGMENTS = rf"""
+WITH finals AS (
+  SELECT DISTINCT lower(element_at(tokens, -1)) AS word FROM @tokenised WHERE element_at(tokens, -1) RLIKE '{_WORD}'
+), unseen AS (
+  SELECT finals.word FROM finals LEFT ANTI JOIN @inside inside ON finals.word = inside.word
+), ordered AS (
+  SELECT word, asked, lead(CASE WHEN asked THEN NULL ELSE word END) IGNORE NULLS OVER (PARTITION BY left(word, 2) ORDER BY word) AS next
+  FROM (SELECT word, true AS asked FROM unseen WHERE length(word) > 1 UNION ALL SELECT word, false FROM @inside WHERE length(word) > 1)
+), beginnings AS (
+  SELECT word FROM ordered WHERE asked AND startswith(next, word)
+  UNION ALL SELECT word FROM unseen LEFT SEMI JOIN (SELECT DISTINCT left(word, 1) AS letter FROM @inside) ON word = letter
+), thirds AS (
+  SELECT third, count_if(last) AS ends, count(*) AS n FROM (
+    SELECT inline(transform(sequence(1, length(word) - 2), i -> struct(substr(word, i, 3) AS third, i = length(word) - 2 AS last))) FROM @inside WHERE length(word) > 2)
+  GROUP BY third
+), odd AS (
+  SELECT unseen.word FROM unseen LEFT JOIN thirds ON right(unseen.word, 3) = third WHERE length(unseen.word) > 2 AND coalesce(ends / n, 0) < 0.05
+)
+SELECT word FROM beginnings UNION SELECT word FROM odd
 """
 
 _LIMITS = f"""
@@ -133,21 +149,68 @@ _OPEN = r"(?s).*(?:[(][^()]*|\\[[^\\[\\]]*|»[^»«]*)[\\p{L}\\p{M}]"
 #: A full stop, question or exclamation mark with what may close after it.
 _STOP = r"[.!?][\\p{Pe}\\p{Pf}\\p{Pi}\\x22\\x27]*"
 
+_ENDS = rf"""
+SELECT id, source, text, chars, bytes, same, element_at(c, -1) AS final, concat_ws(' ', slice(c, -3, 3)) AS tri,
+  xxhash64(lower(get(tokens, size(tokens) - 3)), lower(get(tokens, size(tokens) - 2)), lower(get(tokens, size(tokens) - 1))) AS words,
+  element_at(tokens, -1) RLIKE '{_WORD}' AS last_word, CASE WHEN element_at(c, -1) = 'w' THEN lower(element_at(tokens, -1)) END AS word
+FROM @classed
+"""
+
 _FLAGGED = rf"""
-SELECT c.id, c.source, c.tri, c.final, text RLIKE '{_STOP}\\z' AS stopped,
+SELECT *, broken OR open OR fragment OR at_limit AS cut FROM (SELECT e.id, e.source, e.same, e.tri, e.final, e.words, text RLIKE '{_STOP}\\z' AS stopped,
   text RLIKE '(?:{_BROKEN})\\z' AS broken,
   last_word AND text RLIKE '^{_OPEN}\\z' OR text LIKE '%,' AS open,
   f.word IS NOT NULL AS fragment,
   coalesce((chars = char_limit OR bytes = byte_limit) AND NOT text RLIKE '{_STOP}\\z', false) AS at_limit
-FROM @ends c LEFT JOIN @fragments f ON c.word = f.word
+FROM @ends e LEFT JOIN @fragments f ON e.word = f.word)
+"""
+
+#: Lifts by source and class trigram, each leaning on the next coarser one.
+_LIFTS = f"""
+WITH whole AS (
+  SELECT source, tri, final AS one, CAST(count(*) AS DOUBLE) AS ends FROM @flagged WHERE NOT cut GROUP BY source, tri, final
+), both AS (
+  SELECT c.source, c.tri, c.one, c.n, coalesce(w.ends, 0) AS ends FROM @counts c LEFT JOIN whole w ON c.source = w.source AND c.tri = w.tri AND c.one = w.one
+), every AS (
+  SELECT greatest(sum(ends), 1) / sum(n) AS base FROM both
+), sources AS (
+  SELECT source, (sum(ends) + {LEAN}) / (sum(n) + {LEAN} / first(base)) AS base FROM both, every GROUP BY source
+), everywhere AS (
+  SELECT one, (sum(ends) + {LEAN}) / (sum(n) * first(base) + {LEAN}) AS lift FROM both, every GROUP BY one
+), finals AS (
+  SELECT b.source, b.one, first(s.base) AS base, (sum(ends) + {LEAN} * first(e.lift)) / (sum(n) * first(s.base) + {LEAN}) AS lift
+  FROM both b JOIN sources s ON b.source = s.source JOIN everywhere e ON b.one = e.one GROUP BY b.source, b.one
+)
+SELECT b.source, b.tri, b.n AS rows, f.base, (b.ends + {LEAN} * f.lift) / (b.n * f.base + {LEAN}) AS lift
+FROM both b JOIN finals f ON b.source = f.source AND b.one = f.one WHERE b.n > 0
+"""
+
+#: How often trigrams of words that end texts stand inside texts.
+_INSIDE_TRIGRAMS = """
+SELECT words, count(*) AS n FROM (
+  SELECT explode(transform(sequence(3, size(t)), i -> xxhash64(get(t, i - 3), get(t, i - 2), get(t, i - 1)))) AS words
+  FROM (SELECT explode(array(transform(slice(tokens, 1, size(tokens) - 1), x -> lower(x)))) AS t FROM @tokenised WHERE size(tokens) > 3))
+LEFT SEMI JOIN (SELECT DISTINCT words FROM @flagged) USING (words) GROUP BY words
+"""
+
+#: And how many different whole texts they end.
+_WORDS = """
+SELECT f.words, f.rows, f.ends AS w_ends, i.n AS w_n FROM (
+  SELECT words, count(DISTINCT CASE WHEN NOT cut THEN same END) AS ends, count(*) AS rows FROM @flagged GROUP BY words) f
+JOIN @inside i ON f.words = i.words
 """
 
 _DECIDED = f"""
-SELECT id, source, broken, open, fragment,
-  coalesce(NOT stopped AND n - ends >= 5 AND lift < {LIFT}, false) OR coalesce(final = 'w' AND word_lift < {LIFT}, false) OR at_limit AS unusual
-FROM @ends
+SELECT id, source, same, tri, final, words, stopped, broken, open, fragment, at_limit, trigram, cut OR trigram AS cut FROM (SELECT *,
+  NOT stopped AND (greatest(coalesce(w_ends, 0) - if(cut, 0, 1), 0) + {LEAN} * lift) / (coalesce(w_n, 0) * base + {LEAN}) < {LIFT} AS trigram FROM @ends)
 """
 
+#: Times that ends are judged; each time those found before are no norm any more.
+TURNS = 2
+
+#: The names of the rules, as columns of ``judged``.
+RULES = ("trigram", "at_limit", "fragment", "open", "broken")
+
 
 def _sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
     """query over tables, which it names as @name."""
@@ -158,56 +221,40 @@ def _sql(spark: SparkSession, query: str, **tables: DataFrame) -> DataFrame:
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """(id, source, broken, open, fragment, unusual) of rows (id, source, text) with text; a text is truncated if any holds."""
+    """(id, source, RULES) of rows (id, source, text) with text; a text is truncated if any rule holds."""
     spark = documents.sparkSession
     tokenised = written(_sql(spark, _TOKENISED, docs=documents))
-    n = tokenised.count()
-    near = _sql(spark, _NEAR_END.replace("@n)", f"{n})"), tokenised=tokenised)
-    kept = F.lit(sorted(r["word"] for r in near.collect())) if n else F.array().cast("array<string>")  # at most 4 / NEAR_END words
-    classed = written(_classes(tokenised, kept))
+    near = _sql(spark, _NEAR_END.replace("@n)", f"{tokenised.count()})"), tokenised=tokenised)
+    words = [r["word"] for r in near.orderBy("word").collect()]  # at most 4 / NEAR_END
+    classed = written(_sql(spark, _CLASSED.replace("@near", ", ".join(f"'{w}'" for w in words) or "NULL"), tokenised=tokenised))
     counts = written(_sql(spark, _COUNTS, classed=classed))
-    inside = written(_sql(spark, _INSIDE, tokenised=tokenised))
-    fragments = _sql(spark, _FRAGMENTS, tokenised=tokenised, inside=inside)
-    limits = written(_sql(spark, _LIMITS, tokenised=tokenised))
-    last = F.element_at("tokens", -1)
-    is_word = last.rlike(r"^[\p{L}\p{M}]")
-    ends = classed.select(
-        "id", "source", "text", "chars", "bytes", is_word.alias("last_word"), F.element_at("c", -1).alias("final"),
-        F.concat_ws(" ", F.slice("c", F.size("c") - 2, 3)).alias("tri"),
-        F.when(F.element_at("c", -1) == "w", F.lower(last)).alias("word"),
-    )
-    ends = attach(ends, limits, ["source"], "texts", "left").drop("texts")
+    inside = written(_sql(spark, _INSIDE, tokenised=classed))
+    fragments = _sql(spark, _FRAGMENTS, tokenised=classed, inside=inside)
+    limits = written(_sql(spark, _LIMITS, tokenised=classed))
+    ends = attach(written(_sql(spark, _ENDS, classed=classed)), limits, ["source"], "texts", "left").drop("texts")
     flagged = written(_sql(spark, _FLAGGED, ends=ends, fragments=fragments))
-    lifts = written(_sql(spark, _LIFTS, counts=written(_sql(spark, _NORMS, counts=counts, flagged=flagged))))
-    wholes = written(_sql(spark, _WHOLES, flagged=flagged))
-    judge = F.when((F.col("wholes") >= SMALL) & (F.col("source") != "?"), F.col("source")).otherwise("*")
-    ends = attach(flagged, wholes, ["source"], "texts", "left").select("*", judge.alias("by")).drop("texts", "wholes").withColumnRenamed("source", "own")
-    ends = attach(ends.withColumnRenamed("by", "source"), lifts, ["source", "tri"], "ends", "left").drop("source").withColumnRenamed("own", "source")
-    return _sql(spark, _DECIDED, ends=ends)
-
+    inside = written(_sql(spark, _INSIDE_TRIGRAMS, flagged=flagged, tokenised=classed))
+    for _ in range(TURNS):
+        lifts = written(_sql(spark, _LIFTS, counts=counts, flagged=flagged))
+        seen = written(_sql(spark, _WORDS, flagged=flagged, inside=inside))
+        ends = attach(flagged, lifts, ["source", "tri"], "rows").drop("rows", "trigram")
+        ends = attach(written(ends), seen, ["words"], "rows", "left").drop("rows")
+        flagged = written(_sql(spark, _DECIDED, ends=ends))
+    return flagged.select("id", "source", *RULES)
 
-def _classes(tokenised: DataFrame, kept) -> DataFrame:
-    def kind(x):
-        return (
-            F.when(F.array_contains(kept, x), x)
-            .when(x.rlike(r"^\p{N}"), "0")
-            .when(x.rlike(r"^\n"), "/")
-            .when(x.rlike(r"^\p{Lu}"), "C")
-            .when(x.rlike(r"^[\p{L}\p{M}]"), "w")
-            .otherwise(x)
-        )
 
-    return tokenised.withColumn("c", F.concat(F.array(F.lit("^"), F.lit("^")), F.transform("tokens", kind)))
+def _hit():
+    return reduce(lambda a, b: a | b, [F.col(r) for r in RULES])
 
 
 def truncated(documents: DataFrame) -> DataFrame:
     """(id, source) of the truncated ones of rows (id, source, text)."""
-    return judged(documents).where("broken OR open OR fragment OR unusual").select("id", "source")
+    return judged(documents).where(_hit()).select("id", "source")
 
 
 def rates(documents: DataFrame) -> DataFrame:
-    """(source, texts, truncated, share) of every source; a missing one is '?'."""
-    hit = F.col("broken") | F.col("open") | F.col("fragment") | F.col("unusual")
+    """(source, texts, truncated, share, by_RULE) of every source; a missing one is '?'. A text may fall under several rules."""
     return judged(documents).groupBy("source").agg(
-        F.count(F.lit(1)).alias("texts"), F.count_if(hit).alias("truncated"), F.round(F.avg(hit.cast("double")), 6).alias("share")
+        F.count(F.lit(1)).alias("texts"), F.count_if(_hit()).alias("truncated"), F.round(F.avg(_hit().cast("double")), 6).alias("share"),
+        *[F.count_if(F.col(r)).alias(f"by_{r}") for r in RULES],
     )
