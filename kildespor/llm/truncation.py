@@ -63,22 +63,26 @@ WITH last AS (
     FROM (SELECT filter(slice(tokens, -least(size(tokens), 12), 12), x -> x RLIKE '{_WORD}' AND length(x) > 1) AS w FROM @tokenised) WHERE size(w) > 0)
   GROUP BY word HAVING count(*) >= greatest(3, {NEAR_END} * @n)
 ), everywhere AS (
-  SELECT word, count(*) AS n FROM (SELECT explode(tokens) AS word FROM @tokenised) LEFT SEMI JOIN last USING (word) GROUP BY word
+  SELECT /*+ BROADCAST(last) */ word, count(*) AS n FROM (SELECT explode(tokens) AS word FROM @tokenised) LEFT SEMI JOIN last USING (word) GROUP BY word
 )
 SELECT word FROM last JOIN everywhere USING (word) WHERE near >= {NEAR_END_SHARE} * n
 """
 
+#: The first character decides; regular expressions are for what simple comparisons leave.
 _CLASSED = r"""
 SELECT id, source, text, chars, bytes, same, tokens, concat(array('^', '^'), transform(tokens, x -> CASE
-  WHEN x IN (@near) THEN x WHEN x RLIKE '^\\p{N}' THEN '0' WHEN x RLIKE '^\\n' THEN '/' WHEN x RLIKE '^\\p{Lu}' THEN 'C' WHEN x RLIKE '^[\\p{L}\\p{M}]' THEN 'w' ELSE x END)) AS c
+  WHEN x IN (@near) THEN x WHEN lower(left(x, 1)) <> left(x, 1) THEN 'C' WHEN x BETWEEN 'a' AND '{' THEN 'w' WHEN x BETWEEN '0' AND ':' THEN '0'
+  WHEN x < '\\n' THEN x WHEN x < ' ' THEN '/' WHEN x < 'a' THEN x
+  WHEN x RLIKE '^\\p{Lu}' THEN 'C' WHEN x RLIKE '^[\\p{L}\\p{M}]' THEN 'w' WHEN x RLIKE '^\\p{N}' THEN '0' ELSE x END)) AS c
 FROM @tokenised
 """
 
-#: Trigrams of classes by source, and the class of their last token.
+#: Trigrams of classes by source, and the class of their last token, as hashes.
 _COUNTS = """
-SELECT source, p.tri, p.one, CAST(count(*) AS DOUBLE) AS n FROM (
-  SELECT source, explode(transform(sequence(3, size(c)), i -> struct(concat_ws(' ', get(c, i - 3), get(c, i - 2), get(c, i - 1)) AS tri, get(c, i - 1) AS one))) AS p FROM @classed)
-GROUP BY source, p.tri, p.one
+SELECT source, tri, one, CAST(count(*) AS DOUBLE) AS n FROM (
+  SELECT source, inline(transform(sequence(3, size(c)), i -> struct(xxhash64(get(c, i - 3), get(c, i - 2), get(c, i - 1)) AS tri, xxhash64(get(c, i - 1)) AS one)))
+  FROM (SELECT xxhash64(source) AS source, c FROM @classed))
+GROUP BY source, tri, one
 """
 
 _INSIDE = rf"""
@@ -144,31 +148,31 @@ _BROKEN = "|".join([
     r"<[/\\p{L}][^<>]{0,40}",
     r"\\uFFFD",
 ])
-_OPEN = r"(?s).*(?:[(][^()]*|\\[[^\\[\\]]*|»[^»«]*)[\\p{L}\\p{M}]"
+#: Whether what follows the last opening mark has no closing one.
+_OPEN = " OR ".join(f"(contains(text, '{a}') AND NOT contains(substring_index(text, '{a}', -1), '{b}'))" for a, b in ("()", "[]", "»«"))
 
 #: A full stop, question or exclamation mark with what may close after it.
 _STOP = r"[.!?][\\p{Pe}\\p{Pf}\\p{Pi}\\x22\\x27]*"
 
 _ENDS = rf"""
-SELECT id, source, text, chars, bytes, same, element_at(c, -1) AS final, concat_ws(' ', slice(c, -3, 3)) AS tri,
+SELECT id, source, xxhash64(source) AS own, chars, bytes, same, xxhash64(element_at(c, -1)) AS final, xxhash64(get(c, size(c) - 3), get(c, size(c) - 2), get(c, size(c) - 1)) AS tri,
   xxhash64(lower(get(tokens, size(tokens) - 3)), lower(get(tokens, size(tokens) - 2)), lower(get(tokens, size(tokens) - 1))) AS words,
-  element_at(tokens, -1) RLIKE '{_WORD}' AS last_word, CASE WHEN element_at(c, -1) = 'w' THEN lower(element_at(tokens, -1)) END AS word
+  right(text, 60) RLIKE '{_STOP}\\z' AS stopped, right(text, 60) RLIKE '(?:{_BROKEN})\\z' AS broken,
+  element_at(tokens, -1) RLIKE '{_WORD}' AND ({_OPEN}) OR text LIKE '%,' AS open, CASE WHEN element_at(c, -1) = 'w' THEN lower(element_at(tokens, -1)) END AS word
 FROM @classed
 """
 
-_FLAGGED = rf"""
-SELECT *, broken OR open OR fragment OR at_limit AS cut FROM (SELECT e.id, e.source, e.same, e.tri, e.final, e.words, text RLIKE '{_STOP}\\z' AS stopped,
-  text RLIKE '(?:{_BROKEN})\\z' AS broken,
-  last_word AND text RLIKE '^{_OPEN}\\z' OR text LIKE '%,' AS open,
-  f.word IS NOT NULL AS fragment,
-  coalesce((chars = char_limit OR bytes = byte_limit) AND NOT text RLIKE '{_STOP}\\z', false) AS at_limit
-FROM @ends e LEFT JOIN @fragments f ON e.word = f.word)
+_FLAGGED = """
+SELECT *, broken OR open OR fragment OR at_limit AS cut FROM (
+  SELECT e.id, e.source, e.own, e.same, e.tri, e.final, e.words, stopped, broken, open, f.word IS NOT NULL AS fragment,
+    coalesce((chars = char_limit OR bytes = byte_limit) AND NOT stopped, false) AS at_limit
+  FROM @ends e LEFT JOIN @fragments f ON e.word = f.word)
 """
 
 #: Lifts by source and class trigram, each leaning on the next coarser one.
 _LIFTS = f"""
 WITH whole AS (
-  SELECT source, tri, final AS one, CAST(count(*) AS DOUBLE) AS ends FROM @flagged WHERE NOT cut GROUP BY source, tri, final
+  SELECT own AS source, tri, final AS one, CAST(count(*) AS DOUBLE) AS ends FROM @flagged WHERE NOT cut GROUP BY own, tri, final
 ), both AS (
   SELECT c.source, c.tri, c.one, c.n, coalesce(w.ends, 0) AS ends FROM @counts c LEFT JOIN whole w ON c.source = w.source AND c.tri = w.tri AND c.one = w.one
 ), every AS (
@@ -181,16 +185,25 @@ WITH whole AS (
   SELECT b.source, b.one, first(s.base) AS base, (sum(ends) + {LEAN} * first(e.lift)) / (sum(n) * first(s.base) + {LEAN}) AS lift
   FROM both b JOIN sources s ON b.source = s.source JOIN everywhere e ON b.one = e.one GROUP BY b.source, b.one
 )
-SELECT b.source, b.tri, b.n AS rows, f.base, (b.ends + {LEAN} * f.lift) / (b.n * f.base + {LEAN}) AS lift
+SELECT b.source AS own, b.tri, b.n AS rows, f.base, (b.ends + {LEAN} * f.lift) / (b.n * f.base + {LEAN}) AS lift
 FROM both b JOIN finals f ON b.source = f.source AND b.one = f.one WHERE b.n > 0
 """
 
-#: How often trigrams of words that end texts stand inside texts.
-_INSIDE_TRIGRAMS = """
+#: A bit for each final trigram of words, by its hash, in FILTER numbers of 64 bits: one row of fixed size.
+FILTER = 65_536
+_BITS = f"""
+SELECT transform(array_sort(collect_list(struct(id, b))), x -> x.b) AS bits FROM (
+  SELECT id, coalesce(b, 0) AS b FROM range({FILTER}) LEFT JOIN (
+    SELECT shiftrightunsigned(words, 6) & {FILTER - 1} AS slot, bit_or(shiftleft(1L, CAST(words & 63 AS INT))) AS b FROM @flagged GROUP BY 1) ON id = slot)
+"""
+
+#: How often trigrams of words that end texts stand inside texts. Most others are left out by the bits before anything is shuffled, the rest by the join.
+_INSIDE_TRIGRAMS = f"""
 SELECT words, count(*) AS n FROM (
   SELECT explode(transform(sequence(3, size(t)), i -> xxhash64(get(t, i - 3), get(t, i - 2), get(t, i - 1)))) AS words
   FROM (SELECT explode(array(transform(slice(tokens, 1, size(tokens) - 1), x -> lower(x)))) AS t FROM @tokenised WHERE size(tokens) > 3))
-LEFT SEMI JOIN (SELECT DISTINCT words FROM @flagged) USING (words) GROUP BY words
+LEFT SEMI JOIN (SELECT DISTINCT words FROM @flagged) USING (words)
+WHERE getbit(get((SELECT first(bits) FROM @bits), CAST(shiftrightunsigned(words, 6) & {FILTER - 1} AS INT)), CAST(words & 63 AS INT)) = 1 GROUP BY words
 """
 
 #: And how many different whole texts they end.
@@ -201,7 +214,7 @@ JOIN @inside i ON f.words = i.words
 """
 
 _DECIDED = f"""
-SELECT id, source, same, tri, final, words, stopped, broken, open, fragment, at_limit, trigram, cut OR trigram AS cut FROM (SELECT *,
+SELECT id, source, own, same, tri, final, words, stopped, broken, open, fragment, at_limit, trigram, cut OR trigram AS cut FROM (SELECT *,
   NOT stopped AND (greatest(coalesce(w_ends, 0) - if(cut, 0, 1), 0) + {LEAN} * lift) / (coalesce(w_n, 0) * base + {LEAN}) < {LIFT} AS trigram FROM @ends)
 """
 
@@ -233,11 +246,12 @@ def judged(documents: DataFrame) -> DataFrame:
     limits = written(_sql(spark, _LIMITS, tokenised=classed))
     ends = attach(written(_sql(spark, _ENDS, classed=classed)), limits, ["source"], "texts", "left").drop("texts")
     flagged = written(_sql(spark, _FLAGGED, ends=ends, fragments=fragments))
-    inside = written(_sql(spark, _INSIDE_TRIGRAMS, flagged=flagged, tokenised=classed))
+    bits = written(_sql(spark, _BITS, flagged=flagged))
+    inside = written(_sql(spark, _INSIDE_TRIGRAMS, flagged=flagged, tokenised=classed, bits=bits))
     for _ in range(TURNS):
         lifts = written(_sql(spark, _LIFTS, counts=counts, flagged=flagged))
         seen = written(_sql(spark, _WORDS, flagged=flagged, inside=inside))
-        ends = attach(flagged, lifts, ["source", "tri"], "rows").drop("rows", "trigram")
+        ends = attach(flagged, lifts, ["own", "tri"], "rows").drop("rows", "trigram")
         ends = attach(written(ends), seen, ["words"], "rows", "left").drop("rows")
         flagged = written(_sql(spark, _DECIDED, ends=ends))
     return flagged.select("id", "source", *RULES)
