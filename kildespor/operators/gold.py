@@ -31,13 +31,14 @@ def bands_of(labels: DataFrame) -> DataFrame:
     )
 
 
-def assemble(refs: DataFrame, corpus: DataFrame, labels: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def assemble(refs: DataFrame, corpus: DataFrame, labels: DataFrame, strict: bool = False, gold: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(references, gold): references that cite a document in the corpus, and (ord, doc_id).
 
     References without such a document are left out. One without a label has
     a null band; with ``strict`` that is an error when the result is computed.
+    ``gold``: of ``spans``, if there.
     """
-    gold = spans(refs, corpus)
+    gold = spans(refs, corpus) if gold is None else gold
     kept = refs.join(gold.select("ord").distinct(), "ord", "left_semi").join(bands_of(labels), "id", "left")
     if strict:
         kept = kept.withColumn("band", F.when(F.col("band").isNull(), F.raise_error(F.concat(F.lit("no band for "), F.col("id")))).otherwise(F.col("band")))

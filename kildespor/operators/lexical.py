@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kildespor.plans.shared import written
+from kildespor.plans.shared import together, written
 
 #: Weights (query, term) that are broadcast at once, about; one query's are never parted.
 BLOCK_TERMS = 400_000
@@ -261,7 +261,8 @@ class BM25(_Lexical):
 
     def _totals(self) -> tuple[float, float, float]:
         def compute():
-            n, length = self.docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens").cast("double"))).head()
+            self.docs  # written once, before both
+            (n, length), _ = together(lambda: self.docs.agg(F.count(F.lit(1)), F.avg(F.size("tokens").cast("double"))).head(), lambda: self.df)
             mean = self.df.agg(F.avg(self._idf(float(n)))).head()[0]
             return float(n), float(length or 0.0), float(mean or 0.0)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kildespor.functions.text import jaccard, pair_id, tuple_id
 from kildespor.operators.corpus import adjacent, duplicates_of, labels
-from kildespor.plans.shared import written
+from kildespor.plans.shared import together, written
 
 # Names of the pool's bins, caps within a tuple, and defaults.
 BINS = ("1_both", "2_bm25_only", "3_dfmft_only_jac", "4_dfmft_only_zero")
@@ -35,8 +35,11 @@ def pool(refs: DataFrame, gold: DataFrame, corpus: DataFrame, books: DataFrame,
     top_k are taken before documents with a gold text and neighbours of gold ones
     are left out, so fewer may remain. refs: (ord, id, text, band).
     """
-    lexical, tuned = written(lexical.select("ord", "doc_id", "rank")), written(tuned.select("ord", "doc_id", "rank"))
-    excluded = written(duplicates_of(gold, corpus).unionByName(adjacent(gold, corpus)).distinct())
+    lexical, tuned, excluded = together(
+        lambda: written(lexical.select("ord", "doc_id", "rank")),
+        lambda: written(tuned.select("ord", "doc_id", "rank")),
+        lambda: written(duplicates_of(gold, corpus).unionByName(adjacent(gold, corpus)).distinct()),
+    )
 
     def top(ranking: DataFrame, name: str) -> DataFrame:
         return ranking.where(F.col("rank") <= top_k).join(excluded, ["ord", "doc_id"], "left_anti").select("ord", "doc_id", F.lit(True).alias(name))

@@ -17,7 +17,7 @@ from kildespor.operators.lexical import BM25, Tfidf, distinct_terms, document_fr
 from kildespor.operators.negatives import mine, triples
 from kildespor.operators.trainers import Untrained
 from kildespor.operators.tuning import Mining, Tuning, cross_validate, results, soup
-from kildespor.plans.shared import fresh, written
+from kildespor.plans.shared import fresh, together, written
 from kildespor.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,8 @@ class Tables:
     def assembled(self) -> tuple[DataFrame, DataFrame]:
         """(references, gold), written once."""
         if not self._assembled:
-            self._assembled = tuple(map(written, G.assemble(self.refs, self.corpus, self.table("relation_labeling"))))
+            gold = written(self.gold)
+            self._assembled = written(G.assemble(self.refs, self.corpus, self.table("relation_labeling"), gold=gold)[0]), gold
         return self._assembled
 
     def tokens(self, make, of: str) -> DataFrame:
@@ -221,14 +222,15 @@ def tfidf_all_scores(t: Tables) -> DataFrame:
 def _lexical_ranks(t: Tables, depth: int = 100) -> DataFrame:
     """(ord, band, rank) of the references with gold."""
     refs, gold = t.assembled()
-    ranks = rank_all(t.bm25(T.raw_tokens), t.tokens(T.raw_tokens, "ord"), gold, depth)
-    return refs.select("ord", "annotation_id", "band").join(ranks, "ord")
+    asked = t.tokens(T.raw_tokens, "ord").join(refs.select("ord"), "ord", "left_semi")
+    ranks = rank_all(t.bm25(T.raw_tokens), asked, gold, depth)
+    return written(refs.select("ord", "annotation_id", "band").join(ranks, "ord"))
 
 
 def _dense_ranks(t: Tables) -> DataFrame:
     """(ord, band, rank) of the same references; one without a vector has no rank."""
     refs, gold = t.assembled()
-    return refs.select("ord", "annotation_id", "band").join(t.dense().ranks(t.vectors("split_annotations", "ord"), gold), "ord", "left")
+    return written(refs.select("ord", "annotation_id", "band").join(t.dense().ranks(t.vectors("split_annotations", "ord"), gold), "ord", "left"))
 
 
 @query
@@ -271,7 +273,8 @@ def metrics_by_band(t: Tables) -> DataFrame:
 
 
 def _comparison(t: Tables) -> DataFrame:
-    runs = {"bm25_raw": _lexical_ranks(t), "dense": _dense_ranks(t)}
+    t.assembled()
+    runs = dict(zip(("bm25_raw", "dense"), together(lambda: _lexical_ranks(t), lambda: _dense_ranks(t))))
     both = None
     for run, ranks in runs.items():
         part = ranks.select(F.lit(run).alias("run"), "ord", "rank")
@@ -360,8 +363,10 @@ def reference_queries(t: Tables) -> DataFrame:
 def _negatives(t: Tables) -> DataFrame:
     refs, gold = t.assembled()
     kept = refs.select("ord")
-    dense = t.dense().search(t.vectors("split_annotations", "ord").join(kept, "ord", "left_semi"), 60)
-    band = t.bm25(stems).band(t.tokens(T.stemmed_tokens, "ord").join(kept, "ord", "left_semi"), 3, 50)
+    dense, band = together(
+        lambda: t.dense().search(t.vectors("split_annotations", "ord").join(kept, "ord", "left_semi"), 60),
+        lambda: t.bm25(stems).band(t.tokens(T.stemmed_tokens, "ord").join(kept, "ord", "left_semi"), 3, 50),
+    )
     return mine(dense, band, G.sibling_gold(refs, gold), t.corpus, 16)
 
 
@@ -389,8 +394,8 @@ def _pool(t: Tables) -> DataFrame:
     kept = refs.select("ord")
     queries = written(distinct_terms(t.tokens(stems, "ord").join(kept, "ord", "left_semi")))
     docs = BM25(t.tokens(stems, "doc_id"))
-    tuned = t.dense().search(t.vectors("split_annotations", "ord").join(kept, "ord", "left_semi"), 20)
-    return S.pool(refs, gold, t.corpus, t.table("books"), docs.search(queries, 200), tuned, queries, docs.docs)
+    lexical, tuned = together(lambda: docs.search(queries, 200), lambda: t.dense().search(t.vectors("split_annotations", "ord").join(kept, "ord", "left_semi"), 20))
+    return S.pool(refs, gold, t.corpus, t.table("books"), lexical, tuned, queries, docs.docs)
 
 
 @query
