@@ -40,6 +40,16 @@ def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.reference_splits(*[_table(spark, sf, t) for t in ("split_annotations", "relation_labeling", "split_targets")])
 
 
+def p2_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of p2_splits: references, entries in more than one split, and splits that have none."""
+    refs, targets = _table(spark, sf, "split_annotations"), _table(spark, sf, "split_targets")
+    got = written(p2_splits(spark, sf))
+    entry = refs.where("annotation_id is not null").select(F.coalesce("id", F.concat(F.lit("\u0001"), F.col("ord").cast("string"))).alias("ref"), splits.entry_of(F.col("annotation_id")).alias("entry"))
+    parted = got.join(entry, "ref").groupBy("entry").agg(F.count_distinct("split").alias("n")).where("n > 1").count()
+    missing = targets.where("share > 0").join(got.select(F.col("split").alias("split_name")), "split_name", "left_anti").count()
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ref").alias("refs")).select("n", "refs", F.lit(parted).cast("bigint").alias("parted_entries"), F.lit(missing).cast("bigint").alias("empty_splits"))
+
+
 def _forms(spark: SparkSession, sf: str) -> DataFrame:
     texts = distinctive.verse_and_reference_texts(_table(spark, sf, "verses"), _table(spark, sf, "split_annotations"))
     return lookalike.consistent(texts.withColumnRenamed("row_id", "id"))
@@ -132,7 +142,7 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p2_found, p2_splits, p3_found, p3_forms, p4_found, p4_terms, p5_found, p5_ranked, p6_found, p6_neighbours, p7_found, p7_weights, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_rates)
+    for f in (p1_found, p1_records, p2_found, p2_splits, p2_checks, p3_found, p3_forms, p4_found, p4_terms, p5_found, p5_ranked, p6_found, p6_neighbours, p7_found, p7_weights, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_rates)
 }
 
 _COPIES = r"""
@@ -182,7 +192,16 @@ weights AS (SELECT tbl, row_id, term, tf, df, round((log2(1 + cf / n) + tfn * lo
 
 _ENTRY = r"regexp_replace(regexp_replace(lower(annotation_id), '[^\p{L}\p{M}\p{N}]+', '', 'g'), '^(\P{N}*)0+(\p{N})', '\1\2')"
 
+_NEAREST = """
+units AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM text_vectors WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
+lengths AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM units),
+ranked AS (SELECT vec_id, neighbour_id, cosine, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, neighbour_id) AS position FROM (
+  SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_dot_product(a.v, b.v) / (a.l * b.l), 6) AS cosine FROM lengths a JOIN lengths b ON a.vec_id <> b.vec_id))"""
+
 ORACLES: dict[str, str] = {
+    "p2_checks": "SELECT count(DISTINCT coalesce(id, chr(1) || ord)) AS n, count(DISTINCT coalesce(id, chr(1) || ord)) AS refs, CAST(0 AS BIGINT) AS parted_entries, CAST(0 AS BIGINT) AS empty_splits FROM split_annotations",
+    "p6_found": f"WITH {_NEAREST} SELECT DISTINCT least(vec_id, neighbour_id) AS vec_a, greatest(vec_id, neighbour_id) AS vec_b FROM ranked WHERE position <= 5",
+    "p6_neighbours": f"WITH {_NEAREST} SELECT vec_id, neighbour_id, CAST(position AS INTEGER) AS position, cosine FROM ranked WHERE position <= 5",
     "p1_found": f"WITH {_COPIES} SELECT DISTINCT tbl, first_id, id AS copy_id FROM firsts WHERE id <> first_id",
     "p1_records": f"WITH {_COPIES} SELECT DISTINCT tbl, first_id, n AS copies FROM firsts WHERE id = first_id",
     "p2_found": f"WITH names AS (SELECT DISTINCT annotation_id, {_ENTRY} AS entry FROM split_annotations WHERE annotation_id IS NOT NULL) "

@@ -12,6 +12,7 @@ Ties are broken by the identifier, so results are the same on every run.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kildespor.plans.shared import written
 
 
+#: Rows of a partition that is sorted, at most about.
+SORTED = 2_000_000
+
+
 def _positions(n: int):
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -69,8 +74,8 @@ def top_n(df: DataFrame, group: str, scores: list[str], ident: str, n: int) -> D
         F.col(group).cast("string").alias("grp"), F.col(ident).alias("ident"), *[F.col(s).alias(f"s{i}") for i, s in enumerate(scores)]
     )
     order = [F.col("grp").asc(), *[F.col(f"s{i}").asc_nulls_last() for i in range(len(scores))], F.col("ident").asc_nulls_last()]
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(rows)  # read twice: for the ranges, and to be sorted
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / SORTED))
     kind = rows.schema["ident"].dataType.simpleString()
     kept = written(
         rows.repartitionByRange(parts, *order)
