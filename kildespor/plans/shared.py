@@ -74,8 +74,9 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 def together(*makes: Callable[[], object]) -> list:
     """What each of the calls gives; they run at the same time, so their Spark jobs share the executors instead of waiting for one another."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(makes)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(make)) for make in makes]]
+        return [f.result() for f in [pool.submit(inherit(make)) for make in makes]]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
