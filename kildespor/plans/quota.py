@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kildespor.plans.shared import small
+
 BUCKETS = 4096
 _LEVELS = 4
 
@@ -31,8 +33,8 @@ def cuts(df: DataFrame, group: list[str], size: str, place_col: str, quota: dict
         open_groups = [g for g in quota if g not in done]
         if not open_groups:
             break
-        spans = df.sparkSession.createDataFrame(
-            [(*g, low[g], low[g] + width * BUCKETS, left[g]) for g in open_groups], f"{kinds}, _low bigint, _high bigint, _left double"
+        spans = small(
+            df.sparkSession, [(*g, low[g], low[g] + width * BUCKETS, left[g]) for g in open_groups], f"{kinds}, _low bigint, _high bigint, _left double"
         )
         sums = (
             df.join(F.broadcast(spans), group)

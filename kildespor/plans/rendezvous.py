@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kildespor.plans.quota import cuts, place
-from kildespor.plans.shared import written
+from kildespor.plans.shared import small, written
 
 #: Strata that have quotas of their own, and places. Both bound what the driver holds.
 STRATA, PLACES = 256, 1000
@@ -44,7 +44,7 @@ def _dealt(units: DataFrame, left: dict[tuple[str, str], float], shares: dict[st
     strata = sorted({s for s, _ in left})
     done: list[DataFrame] = []
     for _ in range(len(names) + 2):
-        room = spark.createDataFrame([(s, [left[s, n] for n in names]) for s in strata], "stratum string, room array<double>")
+        room = small(spark, [(s, [left[s, n] for n in names]) for s in strata], "stratum string, room array<double>")
         scores = F.array(*[
             F.struct(score(F.col("unit"), n, F.when(F.col("size") <= F.col("room")[i], F.lit(shares[n])).otherwise(0.0), seed).alias("s"), F.lit(n).alias("n"))
             for i, n in enumerate(names)
@@ -57,7 +57,7 @@ def _dealt(units: DataFrame, left: dict[tuple[str, str], float], shares: dict[st
         )
         wishes = chosen.where("name is not null")
         cut = cuts(wishes, ["stratum", "name"], "size", "at", left)
-        limits = spark.createDataFrame([(s, n, c) for (s, n), c in cut.items()], "stratum string, name string, cut bigint")
+        limits = small(spark, [(s, n, c) for (s, n), c in cut.items()], "stratum string, name string, cut bigint")
         decided = chosen.join(F.broadcast(limits), ["stratum", "name"], "left")
         taken = decided.where("at < cut")
         got = taken.groupBy("stratum", "name").agg(F.sum("size").alias("s")).collect()
@@ -92,11 +92,11 @@ def deal(units: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame
     sums = {r["stratum"]: float(r["s"]) for r in by}
     if rest := total - sum(sums.values()):
         sums["\u0001rest"] = rest
-        known = spark.createDataFrame([(s,) for s in sums], "stratum string").withColumn("_known", F.lit(True))
+        known = small(spark, [(s,) for s in sums], "stratum string").withColumn("_known", F.lit(True))
         units = units.join(F.broadcast(known), "stratum", "left").select("unit", F.when(F.col("_known"), F.col("stratum")).otherwise("\u0001rest").alias("stratum"), "size")
     left = {(s, n): v * shares[n] for s, v in sums.items() for n in shares}
     # a unit larger than any quota of its stratum: less than one in a stratum and place, so they are few
-    most = spark.createDataFrame([(s, v * max(shares.values())) for s, v in sums.items()], "stratum string, most double")
+    most = small(spark, [(s, v * max(shares.values())) for s, v in sums.items()], "stratum string, most double")
     names = sorted(shares)
     costs = F.array(*[_cost(F.col("unit"), n, seed) for n in names]).alias("costs")
     large = units.join(F.broadcast(most), "stratum").where("size > most").select("unit", "stratum", "size", costs).collect()
@@ -109,7 +109,7 @@ def deal(units: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame
         placed.append((r["unit"], name))
         lacking[name] -= r["size"]
         left[r["stratum"], name] -= r["size"]
-    done = spark.createDataFrame(placed, "unit string, name string")
+    done = small(spark, placed, "unit string, name string")
     if placed:
         units = units.join(F.broadcast(done.select("unit")), "unit", "left_anti")
     parts, units = _dealt(units, left, shares, seed)

@@ -14,8 +14,11 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
 _used: dict[str, tuple[SparkSession, str]] = {}
@@ -58,6 +61,13 @@ def written(df: DataFrame, outer: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a local relation, for which no Python worker is started."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) or [[] for _ in kinds]
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, kinds)], schema=kinds))
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables written within are deleted at its end, so a long session keeps only what is still used.
