@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _used: dict[str, tuple[SparkSession, str]] = {}
 _scopes: list[list[str]] = []
 
@@ -82,6 +83,20 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             _delete(spark, path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query run within are deleted at its end, not when the driver happens to collect its garbage. Not for calls that run at the same time."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def together(*makes: Callable[[], object]) -> list:
     """What each of the calls gives; they run at the same time, so their Spark jobs share the executors instead of waiting for one another."""
     inherit = inheritable_thread_target(SparkSession.active())
