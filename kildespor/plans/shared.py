@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 _SETTING = "spark.checkpoint.dir"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _used: dict[str, tuple[SparkSession, str]] = {}
+_tables: set[str] = set()
 _scopes: list[list[str]] = []
 
 
@@ -62,6 +63,23 @@ def written(df: DataFrame, outer: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str, buckets: int, outer: int = 0) -> DataFrame:
+    """As ``written``, in buckets by ``key``, so that grouping by it, also beside rows of another table, shuffles none of its rows again.
+
+    Spark takes buckets only from tables of its catalog, where it has the name of its folder until that is deleted.
+    """
+    spark = df.sparkSession
+    path = fresh(spark, outer)
+    name = _name(path)
+    _tables.add(path)
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _name(path: str) -> str:
+    return "kildespor_" + path.rpartition("/")[2]
+
+
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows of the driver as a local relation, for which no Python worker is started."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))
@@ -70,14 +88,14 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scope(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """Tables written within are deleted at its end, so a long session keeps only what is still used.
 
-    What it gives writes a table that outlives it.
+    What it gives writes a table that outlives it, in buckets where a key and their number are given.
     """
     _scopes.append([])
     try:
-        yield lambda df: written(df, outer=1)
+        yield lambda df, *by: written_by(df, *by, outer=1) if by else written(df, outer=1)
     finally:
         for path in _scopes.pop():
             _delete(spark, path)
@@ -105,6 +123,9 @@ def together(*makes: Callable[[], object]) -> list:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        _tables.remove(path)
+        spark.sql(f"DROP TABLE IF EXISTS {_name(path)}")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -112,6 +133,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for spark, base in _used.values():
         try:
+            for path in [p for p in _tables if p.startswith(base + "/")]:
+                _delete(spark, path)
             _delete(spark, base)
         except Exception:  # the session may have ended before
             pass
