@@ -28,8 +28,8 @@ from kildespor.plans.shared import together, written
 
 #: Weights (query, term) that are broadcast at once, about; one query's are never parted.
 BLOCK_TERMS = 400_000
-#: Documents and queries whose scores a task holds at a time, as one matrix.
-_STRETCH, _CHUNK = 8192, 256
+#: Documents and queries whose scores a task holds at a time, as one matrix. Fewer documents come first, for thresholds.
+_STRETCH, _FIRST, _CHUNK = 65_536, 4096, 16
 #: A term in more than this share of a stretch's documents is multiplied as a full row.
 _DENSE = 1 / 16
 
@@ -91,6 +91,49 @@ class _Postings:
         self.value = document_weight(tf.astype(np.float64), table["side"].to_numpy(zero_copy_only=False)[self.row])
         self.start = np.searchsorted(code // n, np.arange(len(names) + 1))
         self.count = np.diff(self.start)
+        self.full: dict[int, np.ndarray] = {}
+        self.most, filled = np.zeros(len(names)), self.count > 0
+        if filled.any():
+            self.most[filled] = np.maximum.reduceat(self.value, self.start[:-1][filled])
+        self.sum, self.last = np.zeros(n), np.zeros(n, np.int64)
+
+    def reaching(self, block: _Block, query: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents by row, scores) of at least bound, where all weights are positive.
+
+        Terms that can't reach the bound together give no documents, only scores to those that the other terms give.
+        """
+        at = slice(block.ends[query], block.ends[query + 1])
+        there = self.count[block.term[at]] > 0
+        term, weight = block.term[at][there], block.weight[at][there]
+        most = weight * self.most[term]
+        order = np.argsort(most)
+        upto = np.cumsum(most[order])
+        few = int(np.searchsorted(upto, bound))
+        if few == len(order):
+            return np.zeros(0, np.int64), np.zeros(0)
+        rows = []
+        for i in order[few:].tolist():
+            own = slice(self.start[term[i]], self.start[term[i] + 1])
+            rows.append(self.row[own])
+            self.sum[rows[-1]] += weight[i] * self.value[own]
+        row = np.concatenate(rows)
+        found = row[self.sum[row] + (upto[few - 1] if few else 0.0) >= bound]
+        number = np.arange(len(found))
+        self.last[found] = number
+        found = found[self.last[found] == number]  # each once
+        score = self.sum[found]
+        self.sum[row] = 0.0
+        for i in order[:few].tolist():
+            if not len(found):
+                break
+            if self.count[term[i]] > _DENSE * len(self.docs):
+                score += weight[i] * self._full(term[i])[found]
+                continue
+            own = slice(self.start[term[i]], self.start[term[i] + 1])
+            place = np.minimum(np.searchsorted(self.row[own], found), self.count[term[i]] - 1)
+            score += np.where(self.row[own][place] == found, weight[i] * self.value[own][place], 0.0)
+        keep = score >= bound
+        return found[keep], score[keep]
 
     def scores(self, block: _Block, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
         """(scores, whether there is a common term) of queries first to last - 1, by documents."""
@@ -100,32 +143,39 @@ class _Postings:
         n = len(self.docs)
         common = self.count[term] > _DENSE * n
         kinds, kind = np.unique(term[common], return_inverse=True)
-        w, v = np.zeros((last - first, len(kinds))), np.zeros((len(kinds), n))
+        w = np.zeros((last - first, len(kinds)))
         w[query[common], kind] = weight[common]
-        for i, t in enumerate(kinds):
-            own = slice(self.start[t], self.start[t + 1])
-            v[i, self.row[own]] = self.value[own]
-        out = w @ v
-        positive = bool((weight > 0).all())
-        seen = out > 0 if positive else (w != 0).astype(np.float32) @ (v != 0).astype(np.float32) > 0
+        v = np.stack([self._full(t) for t in kinds.tolist()]) if len(kinds) else np.zeros((0, n))
+        out = w @ v if len(kinds) else np.zeros((last - first, n))
+        seen = (w != 0).astype(np.float32) @ (v != 0).astype(np.float32) > 0
         rare = ~common & (self.count[term] > 0)
+        start = self.start
         for q, t, x in zip(query[rare].tolist(), term[rare].tolist(), weight[rare].tolist()):
+            own = slice(start[t], start[t + 1])
+            out[q][self.row[own]] += x * self.value[own]
+            seen[q][self.row[own]] = True
+        return out, seen
+
+    def _full(self, t: int) -> np.ndarray:
+        """A common term's value for each document, made once."""
+        if t not in self.full:
             own = slice(self.start[t], self.start[t + 1])
-            out[q, self.row[own]] += x * self.value[own]
-            if not positive:
-                seen[q, self.row[own]] = True
-        return out, out > 0 if positive else seen
+            self.full[t] = np.zeros(len(self.docs))
+            self.full[t][self.row[own]] = self.value[own]
+        return self.full[t]
 
 
-def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    held, count = [], 0
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of _FIRST rows, then of _STRETCH."""
+    held, count, rows = [], 0, _FIRST
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            held.append(batch.slice(at, rows))
-            count += held[-1].num_rows
-            if count >= rows:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, rows - count))
+            count, at = count + held[-1].num_rows, at + held[-1].num_rows
+            if count == rows:
                 yield pa.Table.from_batches(held)
-                held, count = [], 0
+                held, count, rows = [], 0, _STRETCH
     if held:
         yield pa.Table.from_batches(held)
 
@@ -140,27 +190,41 @@ def _scorer(shared, k: int | None, document_weight: Callable):
         block: _Block = shared.value
         names = pa.array(block.terms, pa.string())
         chunks = [(a, min(a + _CHUNK, len(block.ids))) for a in range(0, len(block.ids), _CHUNK)]
-        best: list[list[tuple]] = [[] for _ in chunks]
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(block.ids)
         least = np.full(len(block.ids), -np.inf)
-        for table in _tables(batches, _STRETCH):
+        positive = k is not None and bool((block.weight > 0).all())
+        for table in _tables(batches):
             found = _Postings(table, names, document_weight)
             n = len(found.docs)
-            for c, (a, b) in enumerate(chunks):
-                s, seen = found.scores(block, a, b)
+            for a, b in chunks:
+                s, seen = (None, None) if positive else found.scores(block, a, b)
                 if k is None:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids[a:b], n)), pa.array(np.tile(found.docs, b - a)), pa.array(s.ravel())], _SCORED)
                     continue
-                s[~seen] = -np.inf
-                if n > k:
-                    least[a:b] = np.maximum(least[a:b], np.partition(s, n - k, axis=1)[:, n - k])
-                x, y = np.nonzero(seen & (s >= least[a:b, None] - 1e-8))
-                best[c].append((x, found.docs[y], s[x, y]))
-                if len(best[c]) > 8:
-                    best[c] = [_first(best[c], k)]
-        for (a, _), parts in zip(chunks, best):
-            if parts:
-                x, d, s = _first(parts, k)
-                yield pa.RecordBatch.from_arrays([pa.array(block.ids[a + x]), pa.array(d), pa.array(s)], _SCORED)
+                for q in range(a, b):
+                    bound = least[q] - 1e-8
+                    if positive:
+                        y, x = found.reaching(block, q, max(bound, 5e-324))
+                    else:
+                        y = np.flatnonzero(seen[q - a] & (s[q - a] >= bound))
+                        x = s[q - a, y]
+                    if len(y):
+                        d, x = np.append(best[q][0], found.docs[y]), np.append(best[q][1], x)
+                        if len(x) > k > 0:
+                            least[q] = np.partition(x, len(x) - k)[len(x) - k]
+                            near = x >= least[q] - 1e-8
+                            d, x = d[near], x[near]
+                            if len(x) > 2 * k:  # many of one score: those with the lowest numbers
+                                first = np.lexsort((d, -np.round(x, 9)))[:k]
+                                d, x = d[first], x[first]
+                        best[q] = d, x
+        if k is not None:
+            for a in range(0, len(block.ids), 256):
+                some = best[a : a + 256]
+                x = np.repeat(np.arange(len(some)), [len(d) for d, _ in some])
+                x, d, s = _first([(x, *(np.concatenate(p) for p in zip(*some)))], k)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(block.ids[a + x]), pa.array(d), pa.array(s)], _SCORED)
 
     return score
 
@@ -219,7 +283,10 @@ class _Lexical:
             rows = weights.where(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == i).select(F.col("ord").cast("bigint").alias("ord"), "term", "weight").toArrow()
             if rows.num_rows:
                 shared = spark.sparkContext.broadcast(_block(rows))
-                part = self._sides().mapInArrow(_scorer(shared, k, self._document_weight()), "ord bigint, doc_id bigint, score double")
+                sides = self._sides()
+                if k is not None:  # each task gives k documents a query, so there are no more tasks than cores
+                    sides = sides.coalesce(math.ceil(spark.sparkContext.defaultParallelism / blocks))
+                part = sides.mapInArrow(_scorer(shared, k, self._document_weight()), "ord bigint, doc_id bigint, score double")
                 found = part if found is None else found.unionByName(part)
         return spark.createDataFrame([], "ord bigint, doc_id bigint, score double") if found is None else found
 
@@ -234,6 +301,7 @@ class _Lexical:
             zeros = queries.select("ord").distinct().select("ord", F.explode(all_low).alias("doc_id")).join(found, ["ord", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
             found = found.unionByName(zeros)
         order = Window.partitionBy("ord").orderBy(F.round("score", 9).desc(), "doc_id")
+        found = found.repartition("ord")  # else Spark sorts every task's rows for a limit that they keep already
         return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
     def band(self, queries: DataFrame, start: int, stop: int) -> DataFrame:
